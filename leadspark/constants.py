@@ -79,5 +79,5 @@ MODEL_SETTINGS = {
     "Logistic Regression": {"max_iter": 1000, "c": 1.0},
     "Random Forest": {"trees": 300, "depth": 10, "min_leaf": 3},
     "Gradient Boosting": {"trees": 200, "depth": 4, "rate": 0.05, "rows": 0.8},
-    "XGBoost": {"trees": 300, "depth": 6, "rate": 0.05, "rows": 0.8, "columns": 0.8},
+    "Column-Sampled Boosting": {"trees": 300, "depth": 6, "rate": 0.05, "rows": 0.8, "columns": 0.8},
 }

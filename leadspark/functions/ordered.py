@@ -1,9 +1,9 @@
 """Exact order statistics that never put an unbounded group into one task.
 
-Rows are first reduced to distinct values with counts. A discretizer fitted on those cuts the value
-range into buckets of about equal numbers of distinct values, whatever the data looks like. Running
-totals are then taken twice: over the few buckets, and inside each bucket. A value that fills a third
-of all rows is one row here.
+Rows are first reduced to distinct values with counts, so a value that fills a third of all rows is one
+row here. If many values remain, a discretizer fitted on them cuts the range into buckets of about equal
+numbers of distinct values, whatever the data looks like, and running totals are taken twice: over the
+few buckets, and inside each bucket.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from leadspark.session import stage
 
 BUCKETS = 512
+# This many distinct values or fewer are ranked in one window; more are cut into buckets.
+ONE_WINDOW_ROWS = 500_000
 
 
 def bucketed(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -29,16 +31,22 @@ def bucketed(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame
 
 
 def running_totals(
-    df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int = BUCKETS
+    df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int = BUCKETS,
+    one_window_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<s>`` (running) and ``all_<s>`` (whole) for each column ``s`` of ``sums``.
 
-    ``df`` has one row per (by, value), ``by`` being a small closed set such as a class label. The
-    totals per bucket are at most ``buckets`` rows per group, which is what gets broadcast.
+    ``df`` is a staged table with one row per (by, value), ``by`` being a small closed set such as a
+    class label. Its size is checked: a short table needs one window per group, a long one is cut into
+    buckets. The totals per bucket are at most ``buckets`` rows per group, which is what gets broadcast.
     """
     by = list(by)
-    rows = bucketed(df, value, buckets)
     order = F.desc if descending else F.asc
+    if df.count() <= (ONE_WINDOW_ROWS if one_window_rows is None else one_window_rows):
+        whole = W.partitionBy(*by)
+        upto = whole.orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({f"cum_{s}": F.sum(s).over(upto) for s in sums} | {f"all_{s}": F.sum(s).over(whole) for s in sums})
+    rows = bucketed(df, value, buckets)
     upto = W.partitionBy(*by).orderBy(order("bucket")).rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "bucket").agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
     totals = totals.select(
@@ -59,7 +67,8 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), buckets: int = BUCKETS
+    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), buckets: int = BUCKETS,
+    one_window_rows: int | None = None,
 ) -> DataFrame:
     """One row per group: ``quantiles``, an array in the order of ``probs``, linearly interpolated.
 
@@ -68,7 +77,7 @@ def exact_quantiles(
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     counts = df.select(*by, value.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
-    ranked = running_totals(stage(counts, "value-counts"), "_x", ["_n"], by, buckets=buckets)
+    ranked = running_totals(stage(counts, "value-counts"), "_x", ["_n"], by, buckets=buckets, one_window_rows=one_window_rows)
 
     def at(position: Column) -> Column:
         """The value holding 0-based rank ``position``."""

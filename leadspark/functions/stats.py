@@ -10,21 +10,29 @@ from pyspark.sql import functions as F
 from leadspark.functions.ordered import exact_quantiles
 
 
-def pair_correlation(a: str, b: str) -> Column:
-    """Pearson correlation over the rows where both are known; null for a constant column."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-
-
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows (feature_a, feature_b, correlation), all pairs from one pass over ``df``."""
-    wide = df.agg(*[pair_correlation(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    """Rows (feature_a, feature_b, correlation): Pearson over the rows where both are known.
+
+    One pass: each row yields its complete pairs, which are combined per pair before the shuffle. The
+    result is null for a pair with a constant column.
+    """
     cells = F.array(*[
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(f"p{i}", 6).alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)
     ])
-    return wide.select(F.inline(cells))
+    names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])
+    sums = df.select(F.inline(cells)).groupBy("pair").agg(
+        F.covar_pop(*_both()).alias("xy"), F.stddev_pop(_both()[0]).alias("sx"), F.stddev_pop(_both()[1]).alias("sy")
+    )
+    named = sums.withColumn("names", names[F.col("pair")])
+    return named.select(
+        "names.feature_a", "names.feature_b", (F.round(F.try_divide("xy", F.col("sx") * F.col("sy")), 6) + 0.0).alias("correlation")
+    )
+
+
+def _both() -> tuple[Column, Column]:
+    """x and y where both are known, else null: a pair without complete rows keeps its place."""
+    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    return F.when(known, F.col("x")), F.when(known, F.col("y"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:

@@ -11,8 +11,9 @@ from leadspark.functions.ordered import exact_quantiles
 from leadspark.functions.scalars import elapsed_days, is_high_intent, lookup
 from leadspark.functions.stats import box_stats, correlations, histogram, kernel_density, melt
 from leadspark.operators.cleaning import dedup_first
-from leadspark.operators.features import TEMPORAL, add_temporal, lead_activity, reference_time
+from leadspark.operators.features import TEMPORAL, add_temporal, lead_activity, lead_distincts, lead_measures, reference_time
 from leadspark.operators.labels import is_conversion, lead_labels
+from leadspark.session import stage
 
 CORRELATED = [
     "session_count", "pricing_page_views", *TEMPORAL, "employee_count", "company_age_years", "converted",
@@ -62,35 +63,36 @@ def segment_gap(leads: DataFrame, interactions: DataFrame) -> DataFrame:
 
 # --- behaviour ----------------------------------------------------------------------------------
 
-def lead_outcomes(unique_leads: DataFrame, interactions: DataFrame) -> DataFrame:
+def lead_outcomes(unique_leads: DataFrame, activity: DataFrame) -> DataFrame:
     """Unique leads with their activity (null without interactions) and ``converted`` (0/1).
 
-    Label and activity come from the same aggregation, so the interactions are read once.
+    The label comes from the same aggregation as the measures, not from a further pass.
     """
-    joined = unique_leads.join(lead_activity(interactions), "lead_id", "left")
+    joined = unique_leads.join(activity, "lead_id", "left")
     return joined.withColumn("converted", F.coalesce("is_converted", F.lit(0)))
 
 
 def funnel_conversion(leads: DataFrame, interactions: DataFrame) -> DataFrame:
     """Conversion rate by deepest known stage; leads without a known stage are left out."""
-    staged = lead_outcomes(dedup_first(leads), interactions).where("deepest_known_stage IS NOT NULL")
+    staged = lead_outcomes(dedup_first(leads), lead_measures(interactions)).where("deepest_known_stage IS NOT NULL")
     return staged.groupBy(F.col("deepest_known_stage").alias("funnel_order")).agg(
         F.count("*").alias("n_leads"), F.round(F.avg("converted"), 4).alias("conversion_rate")
     )
 
 
 def sessions_per_lead(interactions: DataFrame) -> DataFrame:
-    return lead_activity(interactions).select("lead_id", "session_count")
+    return lead_distincts(interactions).select("lead_id", "session_count")
 
 
 def session_means(leads: DataFrame, interactions: DataFrame) -> DataFrame:
     """Mean sessions by class over the leads that have any interaction."""
-    outcomes = lead_outcomes(dedup_first(leads), interactions)
+    outcomes = lead_outcomes(dedup_first(leads), lead_activity(interactions))
     return outcomes.groupBy("converted").agg(F.round(F.avg("session_count"), 4).alias("mean_sessions"))
 
 
 def session_box(leads: DataFrame, interactions: DataFrame) -> DataFrame:
-    return box_stats(lead_outcomes(dedup_first(leads), interactions).select("converted", "session_count"), "session_count", "converted")
+    outcomes = lead_outcomes(dedup_first(leads), lead_activity(interactions)).select("converted", "session_count")
+    return box_stats(stage(outcomes, "session-outcomes"), "session_count", "converted")
 
 
 def pricing_views_per_lead(interactions: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def pricing_views_per_lead(interactions: DataFrame) -> DataFrame:
 
 def pricing_means(leads: DataFrame, interactions: DataFrame) -> DataFrame:
     """Mean pricing page views by class, leads without any counted as 0."""
-    outcomes = lead_outcomes(dedup_first(leads), interactions)
+    outcomes = lead_outcomes(dedup_first(leads), lead_measures(interactions))
     return outcomes.groupBy("converted").agg(
         F.round(F.avg(F.coalesce("pricing_page_views", F.lit(0))), 4).alias("mean_pricing_views")
     )
@@ -160,12 +162,12 @@ def weekday_high_intent(interactions: DataFrame) -> DataFrame:
 
 def time_to_convert(interactions: DataFrame) -> DataFrame:
     """Days from first visit to first high-intent event, for leads that have both."""
-    both = lead_activity(interactions).where("first_visit IS NOT NULL AND first_intent IS NOT NULL")
+    both = lead_measures(interactions).where("first_visit IS NOT NULL AND first_intent IS NOT NULL")
     return both.select("lead_id", elapsed_days("first_visit", "first_intent").alias("days_to_convert"))
 
 
 def time_to_convert_summary(interactions: DataFrame) -> DataFrame:
-    days = time_to_convert(interactions)
+    days = stage(time_to_convert(interactions), "days-to-convert")
     median = exact_quantiles(days, "days_to_convert", [0.5]).select(F.col("quantiles")[0]).scalar()
     d = F.col("days_to_convert")
     return days.agg(
@@ -215,7 +217,7 @@ def temporal_density(interactions: DataFrame, points: int = 200) -> DataFrame:
 
 def correlation_matrix(clean_leads: DataFrame, interactions: DataFrame) -> DataFrame:
     """All pairs of the numeric features and the label, pairwise complete, in long form."""
-    frame = add_temporal(lead_outcomes(clean_leads, interactions), reference_time(interactions))
+    frame = add_temporal(lead_outcomes(clean_leads, lead_activity(interactions)), reference_time(interactions))
     frame = frame.withColumn("pricing_page_views", F.coalesce("pricing_page_views", F.lit(0)))
     names = [c for c in CORRELATED if c in frame.columns]
     upper = correlations(frame, [(a, b) for i, a in enumerate(names) for b in names[i:]])
@@ -225,7 +227,7 @@ def correlation_matrix(clean_leads: DataFrame, interactions: DataFrame) -> DataF
 
 def quartile_conversion(interactions: DataFrame, features: tuple[str, ...] = ("days_since_last_visit", "avg_session_gap_days")) -> DataFrame:
     """Conversion rate per quartile of a feature; values equal to an edge fall below it."""
-    values = melt(temporal_frame(interactions), ["converted"], list(features)).where("value IS NOT NULL")
+    values = stage(melt(temporal_frame(interactions), ["converted"], list(features)).where("value IS NOT NULL"), "quartile-values")
     edges = exact_quantiles(values, "value", [0.25, 0.5, 0.75], ["feature"])
     quartile = sum(((F.col("value") > F.col("quantiles")[i]).cast("int") for i in range(3)), F.lit(1))
     return values.join(F.broadcast(edges), "feature").groupBy("feature", quartile.alias("quartile")).agg(

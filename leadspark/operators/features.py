@@ -31,7 +31,7 @@ def _common_measures() -> dict[str, Column]:
     measures |= {
         "max_funnel_order": F.max(stage),
         # distinct stages as a bit mask: no further distinct aggregate
-        "funnel_stages_reached": F.bit_count(F.bit_or(F.shiftleft(F.lit(1), stage))),
+        "funnel_stages_reached": F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), stage))),
         "first_visit": F.min("ts"),
         "last_visit": F.max("ts"),
         "max_session_number": F.max("session_number"),
@@ -57,19 +57,30 @@ LOGS = ["log_total_time_seconds", "log_total_events", "log_total_clicks"]
 ENGINEERED = [c for c in AGGREGATES if c not in ("first_visit", "last_visit")] + TEMPORAL + RATIOS + LOGS
 
 
-def lead_activity(interactions: DataFrame) -> DataFrame:
-    """One row per known lead with every measure; Catalyst drops those a caller does not select."""
-    return (
-        interactions.where("lead_id IS NOT NULL")
-        .groupBy("lead_id")
-        .agg(
-            F.count_distinct("session_id").alias("session_count"),
-            F.count_distinct(F.to_date("ts")).alias("active_days"),
-            *[measure.alias(name) for name, measure in _common_measures().items()],
-        )
+def lead_measures(interactions: DataFrame) -> DataFrame:
+    """One row per known lead, all but the distinct counts; Catalyst drops what a caller does not select."""
+    known = interactions.where("lead_id IS NOT NULL")
+    return known.groupBy("lead_id").agg(*[measure.alias(name) for name, measure in _common_measures().items()])
+
+
+def lead_distincts(interactions: DataFrame) -> DataFrame:
+    """Distinct sessions and active dates per known lead."""
+    known = interactions.where("lead_id IS NOT NULL")
+    return known.groupBy("lead_id").agg(
+        F.count_distinct("session_id").alias("session_count"), F.count_distinct(F.to_date("ts")).alias("active_days")
     )
 
 
+def lead_activity(interactions: DataFrame) -> DataFrame:
+    """Measures and distinct counts together.
+
+    Two distinct counts make Spark repeat its input rows. Kept apart, only three columns are repeated
+    and not the whole set of measures; both results are partitioned by lead, so joining them moves
+    no data.
+    """
+    return lead_measures(interactions).join(lead_distincts(interactions), "lead_id")
+
+
 def lead_aggregates(interactions: DataFrame) -> DataFrame:
     return lead_activity(interactions).select("lead_id", *AGGREGATES)
 
@@ -109,7 +120,7 @@ def session_gaps(interactions: DataFrame) -> DataFrame:
 
 def session_gaps_closed(interactions: DataFrame) -> DataFrame:
     """The same as :func:`session_gaps` without a window."""
-    dated = lead_activity(interactions).where("active_days > 0")
+    dated = lead_activity(interactions).select("lead_id", "first_visit", "last_visit", "active_days").where("active_days > 0")
     return dated.select(
         "lead_id", closed_gap(F.col("first_visit"), F.col("last_visit"), F.col("active_days")).alias("avg_session_gap_days")
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ from leadspark.session import fresh_path
 
 CONTRIBUTIONS = [f"c_{f}" for f in FEATURES]
 
+# The functions below travel to the executors by value, so those need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # --- ranked factors and summary -----------------------------------------------------------------
 

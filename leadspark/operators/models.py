@@ -74,14 +74,24 @@ class Candidate:
 
 def in_parallel(jobs: Sequence[Callable], width: int = 4) -> list:
     """Run independent Spark jobs at the same time; Spark schedules their tasks together."""
+    wrap = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(1, min(width, len(jobs)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """One partition per core, by hash of the lead and sorted.
+
+    Tree building is bound by processor time, not bytes, so the size-based merging of small partitions
+    would leave cores idle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, "lead_id").sortWithinPartitions("lead_id")
 
 
 def training_rows(features: DataFrame) -> DataFrame:
-    """Only what the models read, staged once in an order that does not depend on the cluster."""
-    rows = features.select("lead_id", LABEL, *FEATURES)
-    return stage(rows.repartition("lead_id").sortWithinPartitions("lead_id"), "training-rows")
+    """Only what the models read, staged once, rows in a fixed order within fixed partitions."""
+    return stage(spread(features.select("lead_id", LABEL, *FEATURES)), "training-rows")
 
 
 def fit(name: str, train: DataFrame, settings: dict | None = None, n_rows: int | None = None) -> Candidate:
@@ -131,7 +141,7 @@ class Training:
 def split_rows(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All training rows, and their 80 % and 20 % parts."""
     rows = training_rows(features)
-    split = stage(stratified_split(rows, LABEL).sortWithinPartitions("lead_id"), "split")
+    split = stage(spread(stratified_split(rows, LABEL)), "split")
     return rows, split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
 
 
@@ -149,7 +159,7 @@ def train_models(features: DataFrame, settings: dict[str, dict] | None = None, n
 
 def cv_f1(name: str, rows: DataFrame, settings: dict | None = None) -> DataFrame:
     """F1 of class 1 on each of the stratified folds, a fresh fit per fold."""
-    folded = stage(stratified_folds(rows, LABEL).sortWithinPartitions("lead_id"), "folds")
+    folded = stage(spread(stratified_folds(rows, LABEL)), "folds")
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     whole = sum(sizes.values())
 

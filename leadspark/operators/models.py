@@ -79,19 +79,18 @@ def in_parallel(jobs: Sequence[Callable], width: int = 4) -> list:
         return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """One partition per core, by hash of the lead and sorted.
+def ordered_rows(rows: DataFrame) -> DataFrame:
+    """Rows by hash of the lead and sorted, so that seeded sampling meets them in the same order.
 
-    Tree building is bound by processor time, not bytes, so the size-based merging of small partitions
-    would leave cores idle.
+    The partition count is left to adaptive execution: one for a small table, since every partition of
+    a tree fit ships its own set of node statistics, and as many as there are cores for a large one.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, "lead_id").sortWithinPartitions("lead_id")
+    return rows.repartition("lead_id").sortWithinPartitions("lead_id")
 
 
 def training_rows(features: DataFrame) -> DataFrame:
     """Only what the models read, staged once, rows in a fixed order within fixed partitions."""
-    return stage(spread(features.select("lead_id", LABEL, *FEATURES)), "training-rows")
+    return stage(ordered_rows(features.select("lead_id", LABEL, *FEATURES)), "training-rows")
 
 
 def fit(name: str, train: DataFrame, settings: dict | None = None, n_rows: int | None = None) -> Candidate:
@@ -141,7 +140,7 @@ class Training:
 def split_rows(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All training rows, and their 80 % and 20 % parts."""
     rows = training_rows(features)
-    split = stage(spread(stratified_split(rows, LABEL)), "split")
+    split = stage(ordered_rows(stratified_split(rows, LABEL)), "split")
     return rows, split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
 
 
@@ -159,7 +158,7 @@ def train_models(features: DataFrame, settings: dict[str, dict] | None = None, n
 
 def cv_f1(name: str, rows: DataFrame, settings: dict | None = None) -> DataFrame:
     """F1 of class 1 on each of the stratified folds, a fresh fit per fold."""
-    folded = stage(spread(stratified_folds(rows, LABEL)), "folds")
+    folded = stage(ordered_rows(stratified_folds(rows, LABEL)), "folds")
     sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
     whole = sum(sizes.values())
 

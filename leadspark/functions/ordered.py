@@ -97,7 +97,7 @@ def exact_quantiles(
 def hash_ranks(df: DataFrame, key: str, stratum: str, seed: int, digits: int = 3) -> DataFrame:
     """Add ``rn`` and ``n_class``: a seeded shuffle of each stratum as exact ranks from 1.
 
-    Ranking follows the MD5 text of key and seed. Its first ``digits`` hex digits spread any stratum
+    ``df`` is read twice: stage it if it is costly. Ranking follows the MD5 text of key and seed. Its first ``digits`` hex digits spread any stratum
     evenly over 16**digits windows, so the largest class is never sorted in one task.
     """
     rows = df.withColumn("_h", F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed)))))

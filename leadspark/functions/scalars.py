@@ -22,8 +22,8 @@ def present(df: DataFrame, names) -> list[str]:
 
 
 def parse_ts(text: Column | str) -> Column:
-    """Timestamp without zone; text that is none becomes null."""
-    return F.try_to_timestamp(col(text)).cast("timestamp_ntz")
+    """Timestamp as written, without zone; text that is none becomes null."""
+    return col(text).try_cast("timestamp_ntz")
 
 
 def elapsed_days(start: Column | str, end: Column | str) -> Column:

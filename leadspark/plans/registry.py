@@ -69,6 +69,10 @@ def model_table(t: LeadTables) -> DataFrame:
     return rounded(cleaning.model_features(joined))
 
 
+def label_table(t: LeadTables) -> DataFrame:
+    return stage(labels.lead_labels(t.leads, t.interactions).select("lead_id", "converted"), "labels")
+
+
 def example_scores(t: LeadTables) -> DataFrame:
     """Leads with a probability from a fixed formula over two features."""
     margin = 0.4 * F.col("max_funnel_order") + 0.02 * F.col("total_events") - 3.0
@@ -272,12 +276,10 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "model_matrix": _on(lambda t: encode.model_matrix(model_table(t))),
-    "stratified_split": _on(lambda t: encode.stratified_split(labels.lead_labels(t.leads, t.interactions).select("lead_id", "converted"))),
-    "stratified_folds": _on(lambda t: encode.stratified_folds(labels.lead_labels(t.leads, t.interactions).select("lead_id", "converted"))),
+    "stratified_split": _on(lambda t: encode.stratified_split(label_table(t))),
+    "stratified_folds": _on(lambda t: encode.stratified_folds(label_table(t))),
     "class_weights": _on(
-        lambda t: rounded(encode.class_weights(
-            encode.stratified_split(labels.lead_labels(t.leads, t.interactions).select("lead_id", "converted")).where("NOT is_test")
-        ))
+        lambda t: rounded(encode.class_weights(encode.stratified_split(label_table(t)).where("NOT is_test")))
     ),
     "standardise": _on(
         lambda t: rounded(encode.standardise(model_table(t), [f for f in FEATURES if f != "source"]).drop("source", "converted"))

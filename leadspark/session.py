@@ -21,6 +21,7 @@ def build_session(app_name: str = "leadspark", master: str | None = None, **sett
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def build_session(app_name: str = "leadspark", master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC time; ``settings`` override."""
@@ -29,24 +26,19 @@ def build_session(app_name: str = "leadspark", master: str | None = None, **sett
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it then gets a fresh temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the session's warehouse if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="run-")
-    return _FALLBACK[app]
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def staged_dir(spark: SparkSession) -> str:
+    """Where this application's staged tables lie."""
+    return f"{shared_dir(spark).rstrip('/')}/leadspark/{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; never used twice."""
-    return f"{shared_dir(spark)}/leadspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -54,3 +46,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every staged table of this application; call it once nothing that reads them is left to run."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe
+from leadspark.llm import byte_bpe, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +27,19 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed(docs)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of every document and their places in sequences of 1,024 tokens; ids end with 2."""
+    pieces = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=2, capacity=1024)
+    return packing.pack(pieces, packing.Capacity(tokens=1024, documents=1024, attention=1024**2))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_best_fit": op8_best_fit,
 }
 ORACLES: dict[str, str] = {}

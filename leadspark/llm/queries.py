@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, lines, packing, simhash
+from leadspark.llm import byte_bpe, langid, lines, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.learn(docs.where(~langid.held_out("doc_id")))
+    return langid.identify(docs.select("doc_id", "text"), dictionaries).select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, words=4, radius=4, seed=42)
@@ -49,6 +55,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_compression_language": op3_compression_language,
     "op4_simhash": op4_simhash,
     "op5_fuzzy_lines": op5_fuzzy_lines,
     "op7_byte_bpe": op7_byte_bpe,

@@ -8,13 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, simhash
+from leadspark.llm import byte_bpe, langid, lines, packing, pii, simhash
+from leadspark.session import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stage(pii.candidates(docs).drop("text"), "pii-candidates")
+    decided = pii.decide(found, pii.fit(found))
+    base = F.filter("candidates", lambda c: c["base"])
+
+    def count(kind: int):
+        return F.size(F.filter(base, lambda c: c["kind"] == kind)).cast("long").alias(f"n_{pii.KINDS[kind]}")
+
+    counts = [count(k) for k in range(len(pii.KINDS))]
+    return decided.select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = langid.learn(docs.where(~langid.held_out("doc_id")))
@@ -55,6 +69,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_weak_pii": op2_weak_pii,
     "op3_compression_language": op3_compression_language,
     "op4_simhash": op4_simhash,
     "op5_fuzzy_lines": op5_fuzzy_lines,

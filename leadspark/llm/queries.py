@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pii, simhash
+from leadspark.llm import byte_bpe, langid, lines, packing, pii, simhash, syncmers
 from leadspark.session import stage
 
 
@@ -68,6 +68,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return packing.pack(pieces, packing.Capacity(tokens=1024, documents=1024, attention=1024**2))
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weak_pii": op2_weak_pii,
     "op3_compression_language": op3_compression_language,
@@ -75,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fuzzy_lines": op5_fuzzy_lines,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit": op8_best_fit,
+    "op9_syncmers": op9_syncmers,
 }
 ORACLES: dict[str, str] = {}

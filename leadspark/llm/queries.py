@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pii, simhash, syncmers
+from leadspark.llm import byte_bpe, langid, lines, packing, pii, shards, simhash, syncmers
 from leadspark.session import stage
 
 
@@ -72,6 +72,13 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compare_edits(_table(spark, sf_dir, "documents"))
 
 
+def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    placed = shards.shard(docs, 40, size, shards.spread_key("doc_id"))
+    return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weak_pii": op2_weak_pii,
     "op3_compression_language": op3_compression_language,
@@ -80,5 +87,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit": op8_best_fit,
     "op9_syncmers": op9_syncmers,
+    "op10_histogram_shards": op10_histogram_shards,
 }
 ORACLES: dict[str, str] = {}

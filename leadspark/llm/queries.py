@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pii, shards, simhash, syncmers
+from leadspark.llm import byte_bpe, langid, lines, packing, pii, shards, simhash, syncmers, topk
 from leadspark.session import stage
 
 
@@ -45,6 +45,10 @@ def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs, radius=4, least=0.8).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,9 +88,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_language": op3_compression_language,
     "op4_simhash": op4_simhash,
     "op5_fuzzy_lines": op5_fuzzy_lines,
+    "op6_histogram_topk": op6_histogram_topk,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_best_fit": op8_best_fit,
     "op9_syncmers": op9_syncmers,
     "op10_histogram_shards": op10_histogram_shards,
 }
-ORACLES: dict[str, str] = {}
+# vectors that take part, their integers, and every pair scored; each id counts once
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x) OR abs(x) > 1048576)) = 0
+  GROUP BY vec_id
+), p AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), t -> t[1] * t[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL}

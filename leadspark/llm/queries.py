@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pii, shards, simhash, syncmers, topk
+from leadspark.llm import byte_bpe, langid, lines, packing, pages, pii, shards, simhash, syncmers, topk
 from leadspark.session import stage
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = stage(pii.candidates(docs).drop("text"), "pii-candidates")
@@ -84,6 +88,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_paths": op1_host_paths,
     "op2_weak_pii": op2_weak_pii,
     "op3_compression_language": op3_compression_language,
     "op4_simhash": op4_simhash,

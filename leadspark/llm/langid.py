@@ -80,8 +80,10 @@ class Compressors:
         return self.names[at], 1 / (1 + sum(math.exp(-8 * (s - least) / spread) for s in others)), margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", least_margin: float = 0.005) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and accepted.
+def identify(
+    docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", least_margin: float = 0.005, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")
+) -> DataFrame:
+    """``docs`` with lang_pred, score (0 to 1) and accepted, or what ``names`` calls them.
 
     ``accepted`` is false if the smallest size undercuts the next by less than the share ``least_margin``, or if the
     text is null or has no letter (``und``, score 0). Each row is judged on its own whole text, so repeated rows get
@@ -97,7 +99,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
         return function
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
+    fields = [T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
     return with_columns(docs.withColumn(text, F.col(text).cast("string")), fields, make)
 
 

@@ -1,7 +1,8 @@
 """Fuzzy removal of repeated lines.
 
 Lines are normalised (lower case, white space folded) and made distinct by a 128-bit digest, so a line that fills a
-third of the corpus counts once. Each distinct line has a SimHash of its words. Two SimHashes that differ in at most
+third of the corpus counts once. Each distinct line has a SimHash of its different words, each counted once: else a
+sign that makes up half of a table's cells would alone decide. Two SimHashes that differ in at most
 ``radius`` bits agree on one of ``radius + 1`` blocks of bits, so lines meet in buckets of equal blocks. Buckets larger
 than a tile are cut into parts that meet pairwise; from each only a forest of links is kept. The connected groups of
 SimHashes are the candidates: only their lines are fetched as text, and within a group those within the radius are
@@ -83,8 +84,9 @@ def _lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if own := normal(line):
                         rows.append(row), lines.append(k)
                         digests.append(xxhash.xxh3_128_digest(" ".join(own)))
-                        words += own
-                        counts.append(len(own))
+                        once = dict.fromkeys(own)
+                        words += once
+                        counts.append(len(once))
                 if len(words) >= CHUNK_WORDS:
                     fps.append(line_hashes(words, counts, cache))
                     words, counts = [], []
@@ -196,8 +198,8 @@ def _verified(lines: DataFrame, radius: int, least: float, part_lines: int) -> D
     return groups.select("members").mapInArrow(check, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, least: float = 0.8, tile: int = TILE, part_lines: int = PART_LINES) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and the counts n_lines and n_removed.
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, least: float = 0.8, tile: int = TILE, part_lines: int = PART_LINES, counts: bool = True) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and with ``counts`` the columns n_lines and n_removed.
 
     Lines are linked if their SimHashes differ in at most ``radius`` bits and their edit similarity is ``least`` or
     more; of each connected group the first occurrence stays, by key (null last), hash of key and text, and line.
@@ -207,7 +209,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     _doc_a, _doc_b, _kept or _nth. Values that are neither null nor blank count as
     lines whatever their length. The text is shuffled twice, to fetch candidates and to apply the decisions.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     place = F.struct(F.col("key").isNull().alias("no"), "key", "_doc_a", "_doc_b", "line")
     distinct = stage(_lines_of(docs, key, text).groupBy("digest").agg(F.min(place).alias("first"), F.first("fp").alias("fp")), "lines")
     document = [F.col("first._doc_a").alias("_doc_a"), F.col("first._doc_b").alias("_doc_b")]
@@ -238,7 +240,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     joined = full.join(kept, ["_doc_a", "_doc_b"], "left")
     joined = joined.withColumn("_nth", F.row_number().over(W.partitionBy("_doc_a", "_doc_b").orderBy("_doc_a")))
 
-    schema = T.StructType([f for f in joined.schema.fields if f.name in names] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([joined.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed") if counts])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,7 +256,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
                 gone = {k for k in full_ if k not in keep}
                 out.append("" if gone and len(gone) == len(full_) else value if not gone else "\n".join(line for k, line in enumerate(lines) if k not in gone))
                 total.append(len(full_)), removed.append(len(gone))
-            columns = [pa.array(out, pa.string()) if f.name == text else get(f.name) for f in schema.fields[:-2]]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=[f.name for f in schema.fields])
+            columns = [pa.array(out, pa.string()) if n == text else get(n) for n in names]
+            columns += [pa.array(total, pa.int64()), pa.array(removed, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return joined.mapInArrow(apply, schema)

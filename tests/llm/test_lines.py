@@ -33,7 +33,7 @@ def brute(rows, radius=4, least=0.8):
                 places.append((at, k, " ".join(line.lower().split())))
     distinct = sorted({p[2] for p in places})
     group = {n: n for n in distinct}
-    prints = {n: fp(n.split()) for n in distinct}
+    prints = {n: fp(set(n.split())) for n in distinct}
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
             if bin(prints[a] ^ prints[b]).count("1") <= radius and group[a] != group[b] and distance(a, b) <= (1 - least) * max(len(a), len(b)) + 1e-9:

@@ -102,13 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # vectors that take part, their integers, and every pair scored; each id counts once
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS q
+  SELECT vec_id, min([floor(64 * CAST(x AS DOUBLE)) for x in embedding]) AS q
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x) OR abs(x) > 1048576)) = 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x) OR abs(x) > 1048576]) = 0
   GROUP BY vec_id
 ), p AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), t -> t[1] * t[2])) AS BIGINT) AS score
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score

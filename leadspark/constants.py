@@ -58,12 +58,14 @@ EVENT_COUNTS = {
     "blog_reads": "blog_read",
 }
 
-# Calendar names used in reports; months without a name are left out.
-MONTH_NAMES = {1: "Jan", 2: "Feb", 3: "Mar", 4: "Apr", 5: "May", 6: "Jun", 7: "Jul"}
+# Calendar names used in reports.
+MONTH_NAMES = {1: "Jan", 2: "Feb", 3: "Mar", 4: "Apr", 5: "May", 6: "Jun", 7: "Jul", 8: "Aug", 9: "Sep", 10: "Oct", 11: "Nov", 12: "Dec"}
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # Cell texts read as missing.
-NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None"]
+NULL_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 # Score bands.
 ACCEPT_FROM = 0.5

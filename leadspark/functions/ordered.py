@@ -1,51 +1,45 @@
 """Exact order statistics that never put an unbounded group into one task.
 
 Rows are first reduced to distinct values with counts, so a value that fills a third of all rows is one
-row here. If many values remain, a discretizer fitted on them cuts the range into buckets of about equal
-numbers of distinct values, whatever the data looks like, and running totals are taken twice: over the
-few buckets, and inside each bucket.
+row here. Quantiles of the distinct values then cut the range into buckets of about equal numbers of them,
+whatever the data looks like, and running totals are taken twice: over the few buckets, and inside each bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadspark.session import stage
 
+# Values per bucket grow with the data; give more buckets for more executors.
 BUCKETS = 512
-# This many distinct values or fewer are ranked in one window; more are cut into buckets.
-ONE_WINDOW_ROWS = 500_000
 
 
 def bucketed(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``bucket``: order-preserving, balanced over the rows of ``counts``."""
-    fitted = QuantileDiscretizer(
-        numBuckets=buckets, relativeError=0.25 / buckets, inputCol=value, outputCol="bucket", handleInvalid="error"
-    ).fit(counts)
+    """Add ``bucket``: order-preserving, balanced over the rows of ``counts``; NaN comes last."""
+    cuts = sorted(set(counts.approxQuantile(value, [(k + 1) / buckets for k in range(buckets - 1)], 0.25 / buckets)))
+    if not cuts:
+        return counts.withColumn("bucket", F.lit(0))
+    fitted = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=value, outputCol="bucket", handleInvalid="keep")
     return fitted.transform(counts).withColumn("bucket", F.col("bucket").cast("int"))
 
 
 def running_totals(
     df: DataFrame, value: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, buckets: int = BUCKETS,
-    one_window_rows: int | None = None,
 ) -> DataFrame:
     """Add ``cum_<s>`` (running) and ``all_<s>`` (whole) for each column ``s`` of ``sums``.
 
     ``df`` is a staged table with one row per (by, value), ``by`` being a small closed set such as a
-    class label. Its size is checked: a short table needs one window per group, a long one is cut into
-    buckets. The totals per bucket are at most ``buckets`` rows per group, which is what gets broadcast.
+    class label. The totals per bucket are at most ``buckets`` rows per group, which Spark broadcasts if
+    they are small.
     """
     by = list(by)
     order = F.desc if descending else F.asc
-    if df.count() <= (ONE_WINDOW_ROWS if one_window_rows is None else one_window_rows):
-        whole = W.partitionBy(*by)
-        upto = whole.orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
-        return df.withColumns({f"cum_{s}": F.sum(s).over(upto) for s in sums} | {f"all_{s}": F.sum(s).over(whole) for s in sums})
     rows = bucketed(df, value, buckets)
     upto = W.partitionBy(*by).orderBy(order("bucket")).rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "bucket").agg(*[F.sum(s).alias(f"_in_{s}") for s in sums])
@@ -59,7 +53,7 @@ def running_totals(
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
     inside = W.partitionBy(*by, "bucket").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(F.broadcast(totals), same).select(
+    return rows.join(totals, same).select(
         *df.columns,
         *[(F.col(f"_before_{s}") + F.sum(s).over(inside)).alias(f"cum_{s}") for s in sums],
         *[f"all_{s}" for s in sums],
@@ -68,7 +62,6 @@ def running_totals(
 
 def exact_quantiles(
     df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), buckets: int = BUCKETS,
-    one_window_rows: int | None = None,
 ) -> DataFrame:
     """One row per group: ``quantiles``, an array in the order of ``probs``, linearly interpolated.
 
@@ -77,7 +70,7 @@ def exact_quantiles(
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     counts = df.select(*by, value.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
-    ranked = running_totals(stage(counts, "value-counts"), "_x", ["_n"], by, buckets=buckets, one_window_rows=one_window_rows)
+    ranked = running_totals(stage(counts, "value-counts"), "_x", ["_n"], by, buckets=buckets)
 
     def at(position: Column) -> Column:
         """The value holding 0-based rank ``position``."""

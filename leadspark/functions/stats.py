@@ -10,29 +10,24 @@ from pyspark.sql import functions as F
 from leadspark.functions.ordered import exact_quantiles
 
 
-def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows (feature_a, feature_b, correlation): Pearson over the rows where both are known.
+def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], mirrored: bool = False) -> DataFrame:
+    """Pearson correlation of each pair of columns over the rows where both are known, in long form.
 
-    One pass: each row yields its complete pairs, which are combined per pair before the shuffle. The
-    result is null for a pair with a constant column.
+    One aggregation without repeating rows: every pair has sums of its own, combined before the only shuffle. With
+    ``mirrored`` each pair of two columns is given both ways from the same sums. Null for a pair with a constant column.
     """
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)
-    ])
-    names = F.array(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b")) for a, b in pairs])
-    sums = df.select(F.inline(cells)).groupBy("pair").agg(
-        F.covar_pop(*_both()).alias("xy"), F.stddev_pop(_both()[0]).alias("sx"), F.stddev_pop(_both()[1]).alias("sy")
-    )
-    named = sums.withColumn("names", names[F.col("pair")])
-    return named.select(
-        "names.feature_a", "names.feature_b", (F.round(F.try_divide("xy", F.col("sx") * F.col("sy")), 6) + 0.0).alias("correlation")
-    )
-
-
-def _both() -> tuple[Column, Column]:
-    """x and y where both are known, else null: a pair without complete rows keeps its place."""
-    known = F.col("x").isNotNull() & F.col("y").isNotNull()
-    return F.when(known, F.col("x")), F.when(known, F.col("y"))
+    def cell(a: str, b: str, correlation: Column) -> Column:
+        return F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation.alias("correlation"))
+
+    cells = []
+    for a, b in pairs:
+        known = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = (F.when(known, F.col(c).cast("double")) for c in (a, b))
+        correlation = F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 6) + 0.0
+        cells.append(cell(a, b, correlation))
+        if mirrored and a != b:
+            cells.append(cell(b, a, correlation))
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:

@@ -214,7 +214,9 @@ def tree_contributions(model: PipelineModel, rows: DataFrame, batch: int = 256)
         for pdf in batches:
             for start in range(0, len(pdf), batch):
                 part = pdf.iloc[start:start + batch]
-                phi = shapley(part[inputs].to_numpy(dtype=float), shipped.value)
+                # equal rows, as of all leads without interactions, are explained once
+                different, place = np.unique(part[inputs].to_numpy(dtype=float), axis=0, return_inverse=True)
+                phi = shapley(different, shipped.value)[place.ravel()]
                 yield pd.concat([part[carried].reset_index(drop=True), pd.DataFrame(phi, columns=CONTRIBUTIONS)], axis=1)
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"{c} double" for c in CONTRIBUTIONS])

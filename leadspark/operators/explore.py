@@ -11,7 +11,7 @@ from leadspark.functions.ordered import exact_quantiles
 from leadspark.functions.scalars import elapsed_days, is_high_intent, lookup
 from leadspark.functions.stats import box_stats, correlations, histogram, kernel_density, melt
 from leadspark.operators.cleaning import dedup_first
-from leadspark.operators.features import TEMPORAL, add_temporal, lead_activity, lead_distincts, lead_measures, reference_time
+from leadspark.operators.features import TEMPORAL, add_temporal, lead_activity, lead_measures, staged_activity
 from leadspark.operators.labels import is_conversion, lead_labels
 from leadspark.session import stage
 
@@ -81,7 +81,7 @@ def funnel_conversion(leads: DataFrame, interactions: DataFrame) -> DataFrame:
 
 
 def sessions_per_lead(interactions: DataFrame) -> DataFrame:
-    return lead_distincts(interactions).select("lead_id", "session_count")
+    return lead_activity(interactions).where("lead_id IS NOT NULL").select("lead_id", "session_count")
 
 
 def session_means(leads: DataFrame, interactions: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def third_pricing_view(interactions: DataFrame, nth: int = 3) -> DataFrame:
 
 # --- calendar -----------------------------------------------------------------------------------
 
-def monthly_patterns(interactions: DataFrame, named_only: bool = True) -> DataFrame:
+def monthly_patterns(interactions: DataFrame) -> DataFrame:
     """Events, events by converted leads, unique leads and event-weighted rate per month number.
 
     Interactions shrink to one row per lead and month first. The label is then the maximum over a
@@ -135,7 +135,6 @@ def monthly_patterns(interactions: DataFrame, named_only: bool = True) -> DataFr
         F.count("lead_id").alias("unique_leads"),
     )
     named = months.withColumn("month_name", lookup(MONTH_NAMES, "month"))
-    named = named.where("month_name IS NOT NULL") if named_only else named
     return named.select(
         "month", "month_name", "total_events", "conv_events", "unique_leads",
         F.round(F.try_divide(F.col("conv_events") * 100.0, F.col("total_events").cast("double")), 4).alias("conv_rate"),
@@ -187,7 +186,8 @@ def time_to_convert_histogram(interactions: DataFrame, bins: int = 30) -> DataFr
 
 def temporal_frame(interactions: DataFrame) -> DataFrame:
     """Every lead with interactions: the three temporal features, unfilled, and its label."""
-    frame = add_temporal(lead_activity(interactions), reference_time(interactions))
+    activity = staged_activity(interactions)
+    frame = add_temporal(activity, activity)
     return frame.select("lead_id", *TEMPORAL, F.col("is_converted").alias("converted"))
 
 
@@ -217,12 +217,11 @@ def temporal_density(interactions: DataFrame, points: int = 200) -> DataFrame:
 
 def correlation_matrix(clean_leads: DataFrame, interactions: DataFrame) -> DataFrame:
     """All pairs of the numeric features and the label, pairwise complete, in long form."""
-    frame = add_temporal(lead_outcomes(clean_leads, lead_activity(interactions)), reference_time(interactions))
+    activity = staged_activity(interactions)
+    frame = add_temporal(lead_outcomes(clean_leads, activity), activity)
     frame = frame.withColumn("pricing_page_views", F.coalesce("pricing_page_views", F.lit(0)))
     names = [c for c in CORRELATED if c in frame.columns]
-    upper = correlations(frame, [(a, b) for i, a in enumerate(names) for b in names[i:]])
-    lower = upper.where("feature_a <> feature_b").select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "correlation")
-    return upper.unionByName(lower)
+    return correlations(frame, [(a, b) for i, a in enumerate(names) for b in names[i:]], mirrored=True)
 
 
 def quartile_conversion(interactions: DataFrame, features: tuple[str, ...] = ("days_since_last_visit", "avg_session_gap_days")) -> DataFrame:

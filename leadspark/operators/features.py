@@ -1,4 +1,4 @@
-"""Per-lead features: one pass over the interactions, one aggregation, one join to the leads."""
+"""Per-lead features: one pass over the interactions, aggregated twice, and one join to the leads."""
 
 from __future__ import annotations
 
@@ -10,40 +10,62 @@ from leadspark.constants import EVENT_COUNTS, PAGE_COUNTS
 from leadspark.functions.scalars import elapsed_days, flag_to_int, floor_zero, funnel_order, is_high_intent, safe_ratio
 from leadspark.operators.cleaning import training_leads
 from leadspark.operators.labels import is_conversion
+from leadspark.session import stage
 
 
 def _zero_if_none(c: Column, zero: float | int) -> Column:
     return F.coalesce(c, F.lit(zero))
 
 
-def _common_measures() -> dict[str, Column]:
-    """Measures that partial aggregation combines before the shuffle, hot leads included."""
-    stage = funnel_order("funnel_stage", unknown=1)
-    measures = {
-        "total_events": F.count("interaction_id"),
-        "total_time_seconds": _zero_if_none(F.sum("time_on_page_seconds"), 0.0),
-        "avg_time_per_page": F.avg("time_on_page_seconds"),
-        "avg_scroll_depth": F.avg("scroll_depth_percent"),
-        "max_scroll_depth": F.max("scroll_depth_percent"),
-    }
-    measures |= {name: F.count_if(F.col("page_name") == page) for name, page in PAGE_COUNTS.items()}
-    measures |= {name: F.count_if(F.col("event_name") == event) for name, event in EVENT_COUNTS.items()}
-    measures |= {
-        "max_funnel_order": F.max(stage),
+def _measures() -> dict[str, tuple[str, Column]]:
+    """Per measure how it is combined and of what; all combine before a shuffle, hot leads included."""
+    depth = funnel_order("funnel_stage", unknown=1)
+    return {
+        "total_events": ("count", F.col("interaction_id")),
+        "total_time_seconds": ("sum0", F.col("time_on_page_seconds")),
+        "avg_time_per_page": ("avg", F.col("time_on_page_seconds")),
+        "avg_scroll_depth": ("avg", F.col("scroll_depth_percent")),
+        "max_scroll_depth": ("max", F.col("scroll_depth_percent")),
+        **{name: ("count", F.when(F.col("page_name") == page, 1)) for name, page in PAGE_COUNTS.items()},
+        **{name: ("count", F.when(F.col("event_name") == event, 1)) for name, event in EVENT_COUNTS.items()},
+        "max_funnel_order": ("max", depth),
         # distinct stages as a bit mask: no further distinct aggregate
-        "funnel_stages_reached": F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1), stage))),
-        "first_visit": F.min("ts"),
-        "last_visit": F.max("ts"),
-        "max_session_number": F.max("session_number"),
-        "return_visitor_flag": F.max("is_return_visitor"),
-        "total_clicks": _zero_if_none(F.sum("click_count"), 0),
-        "avg_mouse_activity": F.avg("mouse_activity_score"),
+        "funnel_stages_reached": ("bits", F.call_function("shiftleft", F.lit(1), depth)),
+        "first_visit": ("min", F.col("ts")),
+        "last_visit": ("max", F.col("ts")),
+        "max_session_number": ("max", F.col("session_number")),
+        "return_visitor_flag": ("max", F.col("is_return_visitor")),
+        "total_clicks": ("sum0", F.col("click_count")),
+        "avg_mouse_activity": ("avg", F.col("mouse_activity_score")),
         # not features: the label, and what exploration asks per lead
-        "is_converted": F.max(is_conversion().cast("int")),
-        "first_intent": F.min(F.when(is_high_intent(), F.col("ts"))),
-        "deepest_known_stage": F.max(funnel_order("funnel_stage", unknown=None)),
+        "is_converted": ("max", is_conversion().cast("int")),
+        "first_intent": ("min", F.when(is_high_intent(), F.col("ts"))),
+        "deepest_known_stage": ("max", funnel_order("funnel_stage", unknown=None)),
     }
-    return measures
+
+
+def _first_level() -> list[Column]:
+    out = []
+    for name, (kind, value) in _measures().items():
+        if kind == "avg":
+            out += [F.sum(value).alias(name), F.count(value).alias(f"{name}_n")]
+        else:
+            out.append({"count": F.count, "sum0": F.sum, "max": F.max, "min": F.min, "bits": F.bit_or}[kind](value).alias(name))
+    return out
+
+
+def _second_level() -> list[Column]:
+    """The measures from rows of ``_first_level``."""
+
+    def again(name: str, kind: str) -> Column:
+        c = F.col(name)
+        if kind == "avg":
+            return F.try_divide(F.sum(c).cast("double"), F.sum(f"{name}_n").cast("double"))
+        if kind == "sum0":
+            return _zero_if_none(F.sum(c), 0)
+        return {"count": F.sum, "max": F.max, "min": F.min, "bits": lambda x: F.bit_count(F.bit_or(x))}[kind](c)
+
+    return [again(name, kind).alias(name) for name, (kind, _) in _measures().items()]
 
 
 AGGREGATES = [
@@ -60,34 +82,33 @@ ENGINEERED = [c for c in AGGREGATES if c not in ("first_visit", "last_visit")] +
 def lead_measures(interactions: DataFrame) -> DataFrame:
     """One row per known lead, all but the distinct counts; Catalyst drops what a caller does not select."""
     known = interactions.where("lead_id IS NOT NULL")
-    return known.groupBy("lead_id").agg(*[measure.alias(name) for name, measure in _common_measures().items()])
-
-
-def lead_distincts(interactions: DataFrame) -> DataFrame:
-    """Distinct sessions and active dates per known lead."""
-    known = interactions.where("lead_id IS NOT NULL")
-    return known.groupBy("lead_id").agg(
-        F.count_distinct("session_id").alias("session_count"), F.count_distinct(F.to_date("ts")).alias("active_days")
-    )
+    return known.groupBy("lead_id").agg(*_first_level()).groupBy("lead_id").agg(*_second_level())
 
 
 def lead_activity(interactions: DataFrame) -> DataFrame:
-    """Measures and distinct counts together.
+    """Measures, distinct sessions and active dates per lead, from one pass; the row of a null lead comes too.
 
-    Two distinct counts make Spark repeat its input rows. Kept apart, only three columns are repeated
-    and not the whole set of measures; both results are partitioned by lead, so joining them moves
-    no data.
+    Interactions shrink to one row per lead, session and date first. That short table gives the measures and
+    both distinct counts, for which Spark repeats rows; the raw interactions are neither repeated nor read again.
     """
-    return lead_measures(interactions).join(lead_distincts(interactions), "lead_id")
+    short = interactions.groupBy("lead_id", "session_id", F.to_date("ts").alias("date")).agg(*_first_level())
+    return short.groupBy("lead_id").agg(
+        *_second_level(), F.count_distinct("session_id").alias("session_count"), F.count_distinct("date").alias("active_days")
+    )
+
+
+def staged_activity(interactions: DataFrame) -> DataFrame:
+    """``lead_activity`` written once: the latest time of all leads is read from it and not from the interactions."""
+    return stage(lead_activity(interactions), "activity")
 
 
 def lead_aggregates(interactions: DataFrame) -> DataFrame:
-    return lead_activity(interactions).select("lead_id", *AGGREGATES)
+    return lead_activity(interactions).where("lead_id IS NOT NULL").select("lead_id", *AGGREGATES)
 
 
-def reference_time(interactions: DataFrame) -> Column:
+def reference_time(activity: DataFrame) -> Column:
     """Latest timestamp over all interactions, those without a lead included, as a scalar subquery."""
-    return interactions.agg(F.max("ts")).scalar()
+    return activity.agg(F.max("last_visit")).scalar()
 
 
 def closed_gap(first: Column, last: Column, days: Column) -> Column:
@@ -95,9 +116,10 @@ def closed_gap(first: Column, last: Column, days: Column) -> Column:
     return F.when(days > 1, F.date_diff(last, first) / (days - 1))
 
 
-def add_temporal(activity: DataFrame, reference: Column) -> DataFrame:
-    """Span, recency and gap per lead; null where a lead has no timestamp or only one active date."""
-    return activity.withColumns({
+def add_temporal(frame: DataFrame, activity: DataFrame) -> DataFrame:
+    """Span, recency and gap per known lead; null where a lead has no timestamp or only one active date."""
+    reference = reference_time(activity)
+    return frame.where("lead_id IS NOT NULL").withColumns({
         "engagement_span_days": floor_zero(elapsed_days("first_visit", "last_visit")),
         "days_since_last_visit": floor_zero(F.timestamp_diff("MICROSECOND", F.col("last_visit"), reference) / 86_400_000_000.0),
         "avg_session_gap_days": closed_gap(F.col("first_visit"), F.col("last_visit"), F.col("active_days")),
@@ -106,7 +128,8 @@ def add_temporal(activity: DataFrame, reference: Column) -> DataFrame:
 
 def lead_temporal(interactions: DataFrame) -> DataFrame:
     """The temporal features in their training form: span and gap zero-filled, recency not."""
-    temporal = add_temporal(lead_activity(interactions), reference_time(interactions)).select("lead_id", *TEMPORAL)
+    activity = staged_activity(interactions)
+    temporal = add_temporal(activity, activity).select("lead_id", *TEMPORAL)
     return temporal.fillna(0.0, subset=["engagement_span_days", "avg_session_gap_days"])
 
 
@@ -120,7 +143,7 @@ def session_gaps(interactions: DataFrame) -> DataFrame:
 
 def session_gaps_closed(interactions: DataFrame) -> DataFrame:
     """The same as :func:`session_gaps` without a window."""
-    dated = lead_activity(interactions).select("lead_id", "first_visit", "last_visit", "active_days").where("active_days > 0")
+    dated = lead_activity(interactions).select("lead_id", "first_visit", "last_visit", "active_days").where("active_days > 0 AND lead_id IS NOT NULL")
     return dated.select(
         "lead_id", closed_gap(F.col("first_visit"), F.col("last_visit"), F.col("active_days")).alias("avg_session_gap_days")
     )
@@ -142,7 +165,8 @@ def add_logs(features: DataFrame) -> DataFrame:
 
 def interaction_features(interactions: DataFrame) -> DataFrame:
     """All engineered features of the leads that have interactions, with ``is_converted``."""
-    temporal = add_temporal(lead_activity(interactions), reference_time(interactions))
+    activity = staged_activity(interactions)
+    temporal = add_temporal(activity, activity)
     filled = temporal.fillna(0.0, subset=["engagement_span_days", "avg_session_gap_days"])
     return add_logs(add_ratios(filled)).select("lead_id", "is_converted", *ENGINEERED)
 

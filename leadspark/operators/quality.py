@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadspark.functions.ordered import exact_quantiles
 from leadspark.operators.cleaning import dedup_first
+from leadspark.session import stage
 
 
 def table_shape(tables: dict[str, DataFrame]) -> DataFrame:
@@ -57,10 +58,17 @@ def duplicate_summary(leads: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(leads: DataFrame, order: str = "ingest_seq", n: int | None = 6) -> DataFrame:
-    """Rows whose id occurs more than once, by id. Ids are counted first, so no id's rows are gathered."""
-    repeated = leads.groupBy("lead_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("lead_id").alias("_id"))
-    rows = leads.join(repeated, F.col("lead_id").eqNullSafe(F.col("_id")), "left_semi").orderBy("lead_id", order)
+def duplicate_rows(leads: DataFrame, order: str = "ingest_seq", n: int | None = None) -> DataFrame:
+    """Rows whose id occurs more than once, by id; missing ids count as one id.
+
+    Repeated ids are counted and written first, so that the join meets two scans and adaptive execution can split a
+    hot id. Rows without an id take no part in it: they are repeated or not by their number alone.
+    """
+    counts = leads.groupBy("lead_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = stage(counts, "repeated-ids")
+    rows = leads.join(repeated.where("lead_id IS NOT NULL").select("lead_id"), "lead_id", "left_semi").select(*leads.columns)
+    no_id = repeated.where("lead_id IS NULL").agg(F.count("*")).scalar()
+    rows = rows.union(leads.where(F.col("lead_id").isNull() & (no_id > 0))).orderBy("lead_id", order)
     return rows.limit(n) if n else rows
 
 
@@ -82,6 +90,10 @@ def time_range(interactions: DataFrame) -> DataFrame:
 
 
 def before_creation(leads: DataFrame, interactions: DataFrame) -> DataFrame:
-    """Interactions older than their lead. Adaptive execution splits a hot lead's side of the join."""
-    created = dedup_first(leads).select("lead_id", "created_at")
+    """Interactions older than their lead.
+
+    The leads' side, one row each, is written first: with two plain scans below the join, adaptive execution splits
+    the interactions of a hot lead, which a window below it would prevent.
+    """
+    created = stage(dedup_first(leads).select("lead_id", "created_at"), "created")
     return interactions.join(created, "lead_id").where(F.col("ts") < F.col("created_at"))

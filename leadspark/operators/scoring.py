@@ -51,7 +51,7 @@ def check_requests(requests: DataFrame, allowed_sources: Sequence[str]) -> DataF
     checks = []
     for c in [f for f in FEATURES if f != "source"]:
         number = F.col(c).cast("string").try_cast("double")
-        bad = number.isNull()
+        bad = number.isNull() | F.isnan(number) | (F.abs(number) >= 2.0**63)  # infinite ones too
         if c in WHOLE_NUMBERS:
             bad = bad | (number != F.floor(number))
         checks.append(F.when(bad, F.concat(F.lit("Invalid number for '"), F.lit(c), F.lit("'."))))

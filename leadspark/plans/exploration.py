@@ -26,7 +26,7 @@ def report(leads: DataFrame, interactions: DataFrame) -> dict[str, Callable[[],
         "table_shape": lambda: quality.table_shape({"leads": leads, "interactions": interactions}),
         "schema_listing": lambda: quality.schema_listing({"leads": leads, "interactions": interactions}),
         "null_counts_leads": lambda: quality.null_counts(leads),
-        "null_counts_interactions": lambda: quality.null_counts(interactions, top=10),
+        "null_counts_interactions": lambda: quality.null_counts(interactions),
         "missing_cells": lambda: quality.missing_cells(leads),
         "null_counts_after_impute": lambda: quality.null_counts(cleaning.exploration_imputed(leads, medians)),
         "duplicate_summary": lambda: quality.duplicate_summary(leads),
@@ -45,7 +45,7 @@ def report(leads: DataFrame, interactions: DataFrame) -> dict[str, Callable[[],
         "session_means": lambda: explore.session_means(clean, interactions),
         "session_box": lambda: explore.session_box(clean, interactions),
         "pricing_means": lambda: explore.pricing_means(clean, interactions),
-        "monthly_patterns": lambda: explore.monthly_patterns(interactions, named_only=False),
+        "monthly_patterns": lambda: explore.monthly_patterns(interactions),
         "weekday_events": lambda: explore.weekday_events(interactions),
         "weekday_high_intent": lambda: explore.weekday_high_intent(interactions),
         "time_to_convert_summary": lambda: explore.time_to_convert_summary(interactions),

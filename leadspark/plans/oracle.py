@@ -211,7 +211,7 @@ def _cells(prediction: str) -> str:
 
 
 _checks = " ".join(
-    [f"WHEN lead_id % 10 = {d} THEN 'Invalid number for ''{c}''.'" for c, d in (("session_count", 5), ("total_events", 4))]
+    [f"WHEN lead_id % 10 = {d} THEN 'Invalid number for ''{c}''.'" for c, d in (("session_count", 5), ("session_count", 6), ("session_count", 7), ("total_events", 4))]
 )
 _lead_cols_typed = ", ".join(
     f"CAST({c} AS VARCHAR) AS {c}" if c == "lead_id" else f"CAST({c} AS TIMESTAMP) AS {c}" if c == "created_at" else c
@@ -290,10 +290,10 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     "session_box": _box("session_count", "outcomes", "converted"),
     "pricing_views_per_lead": "SELECT lead_id, count(*) AS pricing_page_views FROM known WHERE page_name = 'Pricing' GROUP BY lead_id",
     "pricing_means": "SELECT converted, round(avg(coalesce(pricing_page_views, 0)), 4) AS mean_pricing_views FROM outcomes GROUP BY converted",
-    "monthly_patterns": """SELECT month, CASE month WHEN 1 THEN 'Jan' WHEN 2 THEN 'Feb' WHEN 3 THEN 'Mar' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'Jun' WHEN 7 THEN 'Jul' END AS month_name,
+    "monthly_patterns": """SELECT month, CASE month WHEN 1 THEN 'Jan' WHEN 2 THEN 'Feb' WHEN 3 THEN 'Mar' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'Jun' WHEN 7 THEN 'Jul' WHEN 8 THEN 'Aug' WHEN 9 THEN 'Sep' WHEN 10 THEN 'Oct' WHEN 11 THEN 'Nov' WHEN 12 THEN 'Dec' END AS month_name,
         total_events, conv_events, unique_leads, round(conv_events * 100.0 / total_events, 4) AS conv_rate FROM
         (SELECT CAST(month(ts) AS INT) AS month, count(interaction_id) AS total_events, CAST(sum(CASE WHEN i.lead_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS conv_events, count(DISTINCT r.lead_id) AS unique_leads
-         FROM interactions_raw r LEFT JOIN ids i ON r.lead_id = i.lead_id WHERE ts IS NOT NULL GROUP BY 1) WHERE month <= 7""",
+         FROM interactions_raw r LEFT JOIN ids i ON r.lead_id = i.lead_id WHERE ts IS NOT NULL GROUP BY 1)""",
     "dow_all_events": _weekdays("true", "count(interaction_id)", "ORDER BY dow_no"),
     "dow_high_intent": _weekdays(f"event_name IN ({_high})", "count(*)", "ORDER BY n_events DESC NULLS LAST, dow_no"),
     "time_to_convert": "SELECT lead_id, round(days_to_convert, 6) AS days_to_convert FROM ttc",
@@ -347,7 +347,7 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     ) + ") ORDER BY f1 DESC, position LIMIT 1",
     "validate_requests": f"""SELECT lead_id, CASE {_checks} ELSE 'Invalid value for ''source''. Allowed values: [' ||
         (SELECT string_agg('''' || source || '''', ', ' ORDER BY source) FROM (SELECT DISTINCT source FROM leads_raw)) || ']' END AS reason
-        FROM model WHERE lead_id % 10 IN (3, 4, 5)""",
+        FROM model WHERE lead_id % 10 IN (3, 4, 5, 6, 7)""",
     "score_bands": """SELECT lead_id, CASE WHEN probability_1 >= 0.5 THEN 'ACCEPT' ELSE 'REJECT' END AS prediction, round(probability_1, 4) AS conversion_probability,
         CASE WHEN greatest(probability_1, 1 - probability_1) >= 0.85 THEN 'high' WHEN greatest(probability_1, 1 - probability_1) >= 0.6 THEN 'medium' ELSE 'low' END AS confidence,
         CASE WHEN probability_1 >= 0.8 THEN 'low' WHEN probability_1 >= 0.5 THEN 'medium' ELSE 'high' END AS risk_level FROM scored""",

@@ -19,13 +19,8 @@ from leadspark.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# Smaller ensembles than a real training run: these queries show the operators, the training plan
-# uses the full settings.
-QUICK = {
-    "Random Forest": {"trees": 30},
-    "Gradient Boosting": {"trees": 10},
-    "Column-Sampled Boosting": {"trees": 10},
-}
+# What was fitted in this session: (application, data, what) to the fit. Queries over the same data share fits.
+_FITTED: dict[tuple[str, str, str], object] = {}
 
 # A fixed linear model, so that scoring and explanation have results another engine can check.
 EXAMPLE_INTERCEPT = -0.5
@@ -94,11 +89,27 @@ def example_requests(t: LeadTables) -> DataFrame:
     source = F.when(F.col("lead_id") % 10 == 3, "Billboard").otherwise(F.col("source"))
     events = F.when(F.col("lead_id") % 10 == 4, "many").otherwise(F.col("total_events").cast("string"))
     sessions = F.when(F.col("lead_id") % 10 == 5, "2.5").otherwise(F.col("session_count").cast("string"))
+    sessions = F.when(F.col("lead_id") % 10 == 6, "NaN").when(F.col("lead_id") % 10 == 7, "-Infinity").otherwise(sessions)
     return model_table(t).withColumns({"source": source, "total_events": events, "session_count": sessions})
 
 
+def _once(t: LeadTables, what: str, make: Callable[[], object]):
+    key = (t.leads.sparkSession.sparkContext.applicationId, t.origin, what)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def _train(t: LeadTables, names: list[str] | None = None) -> models.Training:
-    return models.train_models(model_table(t), QUICK, names)
+    """The candidates with their full settings, each fitted once."""
+    names = list(names or models.BUILDERS)
+    rows, train, test = _once(t, "split", lambda: models.split_rows(model_table(t)))
+    missing = [n for n in names if (t.leads.sparkSession.sparkContext.applicationId, t.origin, n) not in _FITTED]
+    models.in_parallel([lambda n=n: _once(t, n, lambda: models.fit(n, train)) for n in missing])
+    candidates = [_once(t, n, lambda n=n: models.fit(n, train)) for n in names]
+    leaderboard = _once(t, "leaderboard " + ", ".join(names), lambda: stage(models.evaluate(candidates, test), "leaderboard"))
+    best = metrics.select_best(leaderboard).first()["model"]
+    return models.Training(rows, train, test, candidates, leaderboard, next(c for c in candidates if c.name == best))
 
 
 def _one_model(name: str) -> Query:
@@ -142,7 +153,7 @@ def metrics_document(t: LeadTables) -> DataFrame:
     """The metrics document, written and read back."""
     spark = t.leads.sparkSession
     trained = _train(t)
-    cv = models.cv_summary(models.cv_f1(trained.best.name, trained.rows, QUICK.get(trained.best.name)))
+    cv = models.cv_summary(models.cv_f1(trained.best.name, trained.rows))
     path = fresh_path(spark, "metrics")
     sinks.save_metrics(sinks.metrics_document(trained.leaderboard, cv), path)
     return spark.read.schema(
@@ -159,29 +170,29 @@ def _saved_forest(t: LeadTables) -> tuple[models.Training, models.Candidate, dic
 
 
 def model_roundtrip(t: LeadTables) -> DataFrame:
-    """Test rows scored by a model before saving and after loading."""
+    """Every row scored by a model before saving and after loading."""
     trained, loaded, _ = _saved_forest(t)
-    before = models.score(trained.best.model, trained.test).select("lead_id", F.col("probability_1").alias("before"))
-    after = models.score(loaded.model, trained.test).select("lead_id", F.col("probability_1").alias("after"))
+    before = models.score(trained.best.model, trained.rows).select("lead_id", F.col("probability_1").alias("before"))
+    after = models.score(loaded.model, trained.rows).select("lead_id", F.col("probability_1").alias("after"))
     return before.join(after, "lead_id").withColumn("same", F.col("before") == F.col("after"))
 
 
 def score_stream(t: LeadTables) -> DataFrame:
-    """All leads scored as a file stream; the sink's table is returned."""
+    """Requests, bad ones among them, scored as a file stream; the table of the valid ones is returned."""
     spark = t.leads.sparkSession
     trained = _train(t, ["Random Forest"])
-    inbox, out, log = (fresh_path(spark, name) for name in ("stream-in", "stream-out", "stream-log"))
-    trained.rows.select("lead_id", *FEATURES).write.parquet(inbox)
+    inbox, out, bad, log = (fresh_path(spark, name) for name in ("stream-in", "stream-out", "stream-rejected", "stream-log"))
+    example_requests(t).select("lead_id", *FEATURES).write.parquet(inbox)
     rows = streaming.read_feature_stream(spark, inbox, spark.read.parquet(inbox).schema)
-    query = streaming.score_stream(trained.best.model, rows, out, log)
-    query.awaitTermination()
+    for query in streaming.score_stream(trained.best.model, rows, out, bad, log):
+        query.awaitTermination()
     return spark.read.parquet(out)
 
 
 def explain_tree(t: LeadTables) -> DataFrame:
-    """Shapley contributions of a forest for the test rows, with the base value and the probability."""
+    """Shapley contributions of a forest for every row, with the base value and the probability."""
     trained = _train(t, ["Random Forest"])
-    scored = models.score(trained.best.model, trained.test)
+    scored = models.score(trained.best.model, trained.rows)
     return explain.tree_contributions(trained.best.model, scored).select(
         "lead_id", "probability_1", "base_value", "space", *explain.CONTRIBUTIONS
     )
@@ -204,7 +215,7 @@ QUERIES: dict[str, Query] = {
     "missing_cells_total": _on(lambda t: quality.missing_cells(t.leads)),
     "null_counts_after_impute": _on(lambda t: quality.null_counts(cleaning.exploration_imputed(t.leads))),
     "duplicate_summary": _on(lambda t: quality.duplicate_summary(t.leads)),
-    "duplicate_rows": _on(lambda t: quality.duplicate_rows(t.leads)),
+    "duplicate_rows": _on(lambda t: quality.duplicate_rows(t.leads, n=6)),
     "employee_count_describe": _on(lambda t: quality.describe_column(cleaning.exploration_leads(t.leads), "employee_count")),
     "employee_count_box": _on(lambda t: box_stats(cleaning.exploration_leads(t.leads), "employee_count")),
     "employee_count_box_log": _on(
@@ -296,7 +307,7 @@ QUERIES: dict[str, Query] = {
     "confusion_matrix": _on(lambda t: metrics.confusion_matrix(example_scores(t))),
     "select_best": _on(lambda t: select_best_rule(t)),
     "model_leaderboard": _on(lambda t: _train(t).leaderboard),
-    "cv_f1": _on(lambda t: models.cv_f1("Random Forest", models.training_rows(model_table(t)), QUICK["Random Forest"])),
+    "cv_f1": _on(lambda t: models.cv_f1(_train(t).best.name, _train(t).rows)),
     "feature_importance": _on(
         lambda t: models.feature_importance(t.leads.sparkSession, _train(t, ["Random Forest"]).best.model)
     ),

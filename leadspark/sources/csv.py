@@ -31,7 +31,7 @@ INTERACTIONS_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in
 
 def null_tokens(c: Column) -> Column:
     """Null for the texts that stand for a missing value."""
-    return F.when(~F.trim(c).isin(NULL_TOKENS), c)
+    return F.when(~c.isin(NULL_TOKENS), c)
 
 
 def _typed(c: Column, kind: T.DataType) -> Column:
@@ -47,13 +47,42 @@ def _typed(c: Column, kind: T.DataType) -> Column:
     return F.trim(c).try_cast(kind)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, time_column: str = "timestamp") -> DataFrame:
+def _first_line(spark: SparkSession, file: str) -> str:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(settings).open(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(settings).getCodec(path)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, time_column: str = "timestamp", multi_line: bool = True) -> DataFrame:
     """A headed CSV as typed columns plus ``ingest_seq``, which orders rows as the files do.
 
-    Columns are found by header name, so their order is free and columns of the schema that the file
-    lacks, or of the file that the schema lacks, are skipped. The input's time column is named ``ts``.
+    Columns are found by each file's own header, so their order is free, file by file, and columns of the schema
+    that a file lacks (null if another file has them), or of a file that the schema lacks, are skipped. The input's
+    time column is named ``ts``. With ``multi_line`` quoted cells may hold line breaks and a file is one task; turn
+    it off for files without such cells that should be split.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False, escape='"')
+    by_header: dict[str, list[str]] = {}
+    for file in sorted(spark.read.text(path).inputFiles()):  # headers only; Spark reads the rows
+        by_header.setdefault(_first_line(spark, file), []).append(file)
+    parts = [_read_alike(spark, files, schema, time_column, multi_line) for header, files in by_header.items() if header] or [
+        spark.createDataFrame([], T.StructType([T.StructField("ingest_seq", T.StructType())]))
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _read_alike(spark: SparkSession, files: list[str], schema: T.StructType, time_column: str, multi_line: bool) -> DataFrame:
+    """Files with the same header."""
+    raw = spark.read.csv(files, header=True, inferSchema=False, escape='"', multiLine=multi_line, enforceSchema=True)
     kinds = {f.name: f.dataType for f in schema.fields}
     found = [c for c in raw.columns if c in kinds]
     order = F.struct(

@@ -28,7 +28,6 @@ SELECT c_custkey AS lead_id,
 FROM (SELECT *, 0 AS copy FROM {customer}
       UNION ALL
       SELECT *, 1 AS copy FROM {customer} WHERE c_custkey % 50 = 7) c
-WHERE c_custkey <= (SELECT CAST(floor(1.25 * max(user_id)) AS BIGINT) FROM {events})
 """
 
 INTERACTIONS_SQL = """
@@ -57,10 +56,11 @@ FROM (SELECT e.*, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {e
 
 @dataclass(frozen=True)
 class LeadTables:
-    """The two input tables; ``leads`` may repeat ids, ``interactions`` may lack them."""
+    """The two input tables and where they came from; ``leads`` may repeat ids, ``interactions`` may lack them."""
 
     leads: DataFrame
     interactions: DataFrame
+    origin: str = ""
 
 
 def read_tables(spark: SparkSession, sf_dir: str) -> LeadTables:
@@ -68,6 +68,7 @@ def read_tables(spark: SparkSession, sf_dir: str) -> LeadTables:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return LeadTables(
-        leads=spark.sql(LEADS_SQL, customer=customer, events=events),
+        leads=spark.sql(LEADS_SQL, customer=customer),
         interactions=spark.sql(INTERACTIONS_SQL, events=events),
+        origin=sf_dir,
     )

@@ -50,24 +50,24 @@ def skewed():
     return rows + [("a", None), ("b", None)]
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_exact_quantiles(spark, skewed, limit):
+@pytest.mark.parametrize("buckets", [16, 512])
+def test_exact_quantiles(spark, skewed, buckets):
     df = spark.createDataFrame(skewed, "g string, x double").repartition(4)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["g"]: r["quantiles"] for r in ordered.exact_quantiles(df, "x", probs, ["g"], buckets=16, one_window_rows=limit).collect()}
+    got = {r["g"]: r["quantiles"] for r in ordered.exact_quantiles(df, "x", probs, ["g"], buckets=buckets).collect()}
     for g in "ab":
         want = np.quantile([x for k, x in skewed if k == g and x is not None], probs)
         assert np.allclose(got[g], want)
-    whole = ordered.exact_quantiles(df, "x", [0.5], buckets=16, one_window_rows=limit).first()["quantiles"][0]
+    whole = ordered.exact_quantiles(df, "x", [0.5], buckets=buckets).first()["quantiles"][0]
     assert whole == pytest.approx(median(x for _, x in skewed if x is not None))
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_running_totals(spark, descending, limit):
+@pytest.mark.parametrize("buckets", [8, 512])
+def test_running_totals(spark, descending, buckets):
     rows = [(float(i % 97) + i / 1000, i % 5, 1) for i in range(600)]
     df = spark.createDataFrame(rows, "x double, m int, n int")
-    got = {r["x"]: r for r in ordered.running_totals(df, "x", ["m", "n"], descending=descending, buckets=8, one_window_rows=limit).collect()}
+    got = {r["x"]: r for r in ordered.running_totals(df, "x", ["m", "n"], descending=descending, buckets=buckets).collect()}
     m = n = 0
     for x, a, b in sorted(rows, reverse=descending):
         m, n = m + a, n + b

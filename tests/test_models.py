@@ -124,12 +124,18 @@ def test_bands(spark, p, want):
 
 
 def test_stream_equals_batch(spark, trained):
-    rows = trained.test.select("lead_id", *FEATURES)
-    inbox, out, log = (fresh_path(spark, n) for n in ("in", "out", "log"))
-    rows.repartition(3).write.parquet(inbox)
-    stream = streaming.read_feature_stream(spark, inbox, rows.schema, files_per_trigger=1)
-    streaming.score_stream(trained.best.model, stream, out, log).awaitTermination()
-    assert sorted(spark.read.parquet(out).collect()) == sorted(scoring.batch_score(trained.best.model, rows).collect())
+    rows = trained.test.select("lead_id", *[F.col(f).cast("string").alias(f) for f in FEATURES])
+    spoiled = rows.withColumn("total_events", F.when(F.col("lead_id") % 5 == 0, "NaN").when(F.col("lead_id") % 5 == 1, "Infinity").otherwise(F.col("total_events")))
+    inbox, out, bad, log = (fresh_path(spark, n) for n in ("in", "out", "bad", "log"))
+    spoiled.repartition(3).write.parquet(inbox)
+    stream = streaming.read_feature_stream(spark, inbox, spoiled.schema, files_per_trigger=1)
+    for query in streaming.score_stream(trained.best.model, stream, out, bad, log):
+        query.awaitTermination()
+    allowed = models.source_values(trained.best.model)
+    accepted = scoring.accepted_requests(spoiled, allowed)
+    assert sorted(spark.read.parquet(out).collect()) == sorted(scoring.batch_score(trained.best.model, accepted).collect())
+    rejected = {r.lead_id for r in spark.read.parquet(bad).collect()}
+    assert rejected == {r.lead_id for r in rows.collect()} - {r.lead_id for r in accepted.collect()} and rejected
 
 
 def test_requests_are_checked(spark):
@@ -219,3 +225,25 @@ def test_csv_reader(spark):
     assert [r["form_completed"] for r in rows] == [True, None, False] and [r["click_count"] for r in rows] == [3, None, 2]
     assert [r["time_on_page_seconds"] for r in rows] == [None, 12.5, None] and rows[2]["event_name"] == "a, b"
     assert "extra" not in rows[0].asDict()
+
+
+def test_csv_files_with_headers_of_their_own_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('lead_id,source,industry\n1,Google,BFSI\n2,n/a,#N/A\n3,"two\nlines",<NA>\n')
+    (tmp_path / "b.csv").write_text("industry,lead_id,source,extra\nRetail,4,Direct,x\nNone,5, NA,y\n")
+    (tmp_path / "c.csv").write_text("lead_id,city\n6,Ulm\n")
+    df = csv.read_csv(spark, str(tmp_path), csv.LEADS_SCHEMA)
+    got = sorted((r.lead_id, r.source, r.industry, r.city) for r in df.collect())
+    assert got == [
+        ("1", "Google", "BFSI", None), ("2", None, None, None), ("3", "two\nlines", None, None), ("4", "Direct", "Retail", None), ("5", " NA", None, None), ("6", None, None, "Ulm"),
+    ]
+
+
+def test_numbers_that_are_not_finite_are_rejected(spark):
+    names = ["lead_id", *FEATURES]
+    good = ("Google", "7", "35", "2400.0", "3", "1", "4", "60", "25.0", "5.0", "4.0")
+    texts = ["NaN", "Infinity", "-Infinity", "1e300", "", None, "7"]
+    rows = [(str(i), good[0], t, *good[2:]) for i, t in enumerate(texts)] + [(f"t{i}", *good[:3], t, *good[4:]) for i, t in enumerate(["NaN", "inf"])]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    accepted = {r["lead_id"] for r in scoring.accepted_requests(df, ["Google"]).collect()}
+    rejected = {r["lead_id"] for r in scoring.rejected_requests(df, ["Google"]).collect()}
+    assert accepted == {"6"} and rejected == {r[0] for r in rows} - accepted

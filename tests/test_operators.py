@@ -135,11 +135,11 @@ def test_months_ignore_the_year_and_weigh_by_events(spark):
     ]
     df = events(spark, rows)
     got = {r["month"]: r for r in explore.monthly_patterns(df).collect()}
-    assert set(got) == {1, 3}
+    assert set(got) == {1, 3, 9}
     march = got[3]
     assert (march["month_name"], march["total_events"], march["conv_events"], march["unique_leads"], march["conv_rate"]) == ("Mar", 4, 2, 2, 50.0)
     assert got[1]["conv_events"] == 1
-    assert {r["month"] for r in explore.monthly_patterns(df, named_only=False).collect()} == {1, 3, 9}
+    assert {r["month"] for r in explore.monthly_patterns(df).collect()} == {1, 3, 9}
 
 
 def test_weekdays_are_dense(interactions):
@@ -188,3 +188,48 @@ def test_codes_follow_the_alphabet(spark):
 def test_standardise_constant_column(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     assert [tuple(r) for r in encode.standardise(df, ["a", "b"]).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_hot_leads_can_be_split(spark):
+    """With a third of the rows on one lead the final plans hold a skewed join."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16", "spark.sql.files.maxPartitionBytes": "256k",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        hot = spark.range(0, 300_000, 1, 8).select(F.when(i % 3 == 0, 7).otherwise(i).alias("lead_id"), i.alias("interaction_id"), F.timestamp_seconds(i).alias("ts"))
+        leads = spark.range(0, 300_000, 1, 8).select(i.alias("lead_id"), i.alias("ingest_seq"), F.lit("2025-01-01").cast("timestamp").alias("created_at"))
+        early = quality.before_creation(leads, hot)
+        assert early.count() == 300_000
+        early.write.format("noop").mode("overwrite").save()
+        repeated = quality.duplicate_rows(hot.withColumnRenamed("interaction_id", "ingest_seq"))
+        plans = []
+        for df in (early, repeated):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        assert all("skew=true" in p for p in plans)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_rows_without_id_are_duplicates_of_each_other(spark):
+    leads = spark.createDataFrame([(None, 1), (None, 2), (5, 3), (6, 4), (6, 5)], "lead_id int, ingest_seq int")
+    assert [r.ingest_seq for r in quality.duplicate_rows(leads).collect()] == [1, 2, 4, 5]
+    assert [r.ingest_seq for r in quality.duplicate_rows(leads.where("ingest_seq > 1")).collect()] == [4, 5]
+
+
+def test_features_read_the_interactions_once(spark, tmp_path):
+    path = "/root/testdata/sf0.001"
+    from leadspark.operators import features as feats
+    from leadspark.sources.rolemap import read_tables
+
+    t = read_tables(spark, path)
+    plan = feats.lead_activity(t.interactions)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    frame = feats.lead_features(t.leads, t.interactions, medians={})
+    assert "events.parquet" not in frame._jdf.queryExecution().executedPlan().toString()

@@ -22,6 +22,8 @@ from leadspark.session import stage
 
 LABEL = "converted"
 MAX_BINS = 128
+# Node statistics of one pass over the rows; the default of 256 needs several passes per level of a deep forest.
+TREE_MEMORY_MB = 1024
 
 
 def _logistic(settings: dict, n_rows: int) -> list:
@@ -45,7 +47,7 @@ def _forest(settings: dict, n_rows: int) -> list:
     return [RandomForestClassifier(
         labelCol=LABEL, weightCol="weight", numTrees=settings["trees"], maxDepth=settings["depth"],
         minInstancesPerNode=settings["min_leaf"], featureSubsetStrategy=str(int(len(FEATURES) ** 0.5)),
-        maxBins=MAX_BINS, seed=SEED,
+        maxBins=MAX_BINS, seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True,
     )]
 
 
@@ -53,6 +55,7 @@ def _boosting(settings: dict, n_rows: int) -> list:
     return [GBTClassifier(
         labelCol=LABEL, maxIter=settings["trees"], maxDepth=settings["depth"], stepSize=settings["rate"],
         subsamplingRate=settings["rows"], featureSubsetStrategy=str(settings.get("columns", "all")), maxBins=MAX_BINS, seed=SEED,
+        maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True,
     )]
 
 

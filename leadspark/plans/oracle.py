@@ -342,6 +342,20 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
         WINDOW w AS (ORDER BY probability_1 DESC) UNION ALL SELECT NULL, 0, 0""",
     "confusion_matrix": """SELECT actual, predicted, count(s.lead_id) AS n FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS c(actual, predicted)
         LEFT JOIN scored s ON s.converted = c.actual AND s.prediction = c.predicted GROUP BY 1, 2""",
+    # invariants: the queries compute the flags from their rows
+    "model_matrix": "SELECT lead_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS x_source, "
+        + ", ".join(f"round(CAST({f} AS DOUBLE), 6) AS x_{f}" for f in FEATURES if f != "source") + " FROM model",
+    "model_roundtrip": "SELECT lead_id, true AS same FROM model",
+    "batch_score": "SELECT lead_id, true AS in_range, true AS bands_agree FROM model",
+    "score_stream": "SELECT lead_id, true AS in_range, true AS bands_agree FROM model WHERE lead_id % 10 NOT IN (3, 4, 5, 6, 7)",
+    "feature_importance": "SELECT feature, true AS is_share, true AS adds_up FROM (VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") AS v(feature)",
+    "explain_tree": "SELECT lead_id, 'probability' AS space, true AS adds_up FROM model",
+    "cv_f1": "SELECT CAST(range AS INT) AS fold, true AS in_range FROM range(5)",
+    "train_lr": "SELECT 'Logistic Regression' AS model, true AS in_range, true AS f1_follows",
+    "train_rf": "SELECT 'Random Forest' AS model, true AS in_range, true AS f1_follows",
+    "train_gbt": "SELECT 'Gradient Boosting' AS model, true AS in_range, true AS f1_follows",
+    "train_gbt_colsample": "SELECT 'Column-Sampled Boosting' AS model, true AS in_range, true AS f1_follows",
+    "model_leaderboard": "SELECT model, true AS in_range, true AS f1_follows FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'), ('Column-Sampled Boosting')) AS v(model)",
     "select_best": "SELECT model, f1 FROM (" + " UNION ALL ".join(
         f"SELECT {i} AS position, '{name}' AS model, {_f1} AS f1 FROM ({_cells(f'probability_1 > {cut}')})" for i, (name, cut) in enumerate([("cut 0.3 a", 0.3), ("cut 0.3 b", 0.3), ("cut 0.6", 0.6)])
     ) + ") ORDER BY f1 DESC, position LIMIT 1",

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,8 +114,14 @@ def _train(t: LeadTables, names: list[str] | None = None) -> models.Training:
     return models.Training(rows, train, test, candidates, leaderboard, next(c for c in candidates if c.name == best))
 
 
+def _folds(t: LeadTables) -> DataFrame:
+    """The winner's F1 per fold."""
+    trained = _train(t)
+    return _once(t, "folds", lambda: stage(models.cv_f1(trained.best.name, trained.rows), "fold-scores"))
+
+
 def _one_model(name: str) -> Query:
-    return _on(lambda t: _train(t, [name]).leaderboard.drop("position"))
+    return _on(lambda t: checked_board(_train(t, [name]).leaderboard))
 
 
 # --- queries with more than one step ------------------------------------------------------------
@@ -149,11 +157,18 @@ def numeric_table(t: LeadTables) -> DataFrame:
     return rounded(cleaning.numeric_projection(cleaning.drop_model_excluded(coded.withColumn("lead", F.col("lead_id")))))
 
 
+def model_matrix(t: LeadTables) -> DataFrame:
+    """The feature vectors, entry by entry in the order of the features."""
+    vectors = encode.model_matrix(model_table(t))
+    cells = vector_to_array("features")
+    return rounded(vectors.select("lead_id", *[cells[i].alias(f"x_{f}") for i, f in enumerate(FEATURES)]))
+
+
 def metrics_document(t: LeadTables) -> DataFrame:
     """The metrics document, written and read back."""
     spark = t.leads.sparkSession
     trained = _train(t)
-    cv = models.cv_summary(models.cv_f1(trained.best.name, trained.rows))
+    cv = models.cv_summary(_folds(t))
     path = fresh_path(spark, "metrics")
     sinks.save_metrics(sinks.metrics_document(trained.leaderboard, cv), path)
     return spark.read.schema(
@@ -170,15 +185,57 @@ def _saved_forest(t: LeadTables) -> tuple[models.Training, models.Candidate, dic
 
 
 def model_roundtrip(t: LeadTables) -> DataFrame:
-    """Every row scored by a model before saving and after loading."""
+    """For every row whether a model gives the same probability before saving and after loading."""
     trained, loaded, _ = _saved_forest(t)
     before = models.score(trained.best.model, trained.rows).select("lead_id", F.col("probability_1").alias("before"))
     after = models.score(loaded.model, trained.rows).select("lead_id", F.col("probability_1").alias("after"))
-    return before.join(after, "lead_id").withColumn("same", F.col("before") == F.col("after"))
+    return before.join(after, "lead_id").select("lead_id", (F.col("before") == F.col("after")).alias("same"))
+
+
+def banded(scored: DataFrame) -> DataFrame:
+    """Per scored lead whether its probability and its bands agree; scores within rounding of a border agree with either."""
+    p, near = F.col("conversion_probability"), 0.0001
+
+    def agrees(column: str, value: str, holds, *borders: float):
+        close = F.lit(False)
+        for b in borders:
+            close = close | (F.abs(p - b) <= near)
+        return close | ((F.col(column) == value) == holds)
+
+    sure = F.greatest(p, 1 - p)
+    bands = agrees("prediction", "ACCEPT", p >= 0.5, 0.5) & agrees("confidence", "high", sure >= 0.85, 0.85, 0.15) & agrees("risk_level", "low", p >= 0.8, 0.8)
+    return scored.select("lead_id", p.between(0, 1).alias("in_range"), bands.alias("bands_agree"))
+
+
+def batch_score(t: LeadTables) -> DataFrame:
+    trained = _train(t, ["Random Forest"])
+    return banded(scoring.batch_score(trained.best.model, trained.rows))
+
+
+def forest_importance(t: LeadTables) -> DataFrame:
+    """Per feature whether its importance is a share, and whether all add up to one."""
+    found = models.feature_importance(t.leads.sparkSession, _train(t, ["Random Forest"]).best.model)
+    total = F.sum("importance").over(W.partitionBy())  # one row per feature
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(total - 1) < 1e-6).alias("adds_up"))
+
+
+def fold_scores(t: LeadTables) -> DataFrame:
+    """Per fold whether the winner's F1 is a share."""
+    return _folds(t).select("fold", F.col("f1").between(0, 1).alias("in_range"))
+
+
+def checked_board(board: DataFrame) -> DataFrame:
+    """Per model whether every measure is a share and F1 follows from precision and recall."""
+    share = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1", "auc_roc"):
+        share = share & F.coalesce(F.col(c).between(0, 1), F.lit(c == "auc_roc"))
+    both = F.col("precision") + F.col("recall")
+    mean = F.when(both == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / both)
+    return board.select("model", share.alias("in_range"), (F.abs(F.col("f1") - mean) < 2e-4).alias("f1_follows"))
 
 
 def score_stream(t: LeadTables) -> DataFrame:
-    """Requests, bad ones among them, scored as a file stream; the table of the valid ones is returned."""
+    """Requests, bad ones among them, scored as a file stream; what the table of the valid ones holds."""
     spark = t.leads.sparkSession
     trained = _train(t, ["Random Forest"])
     inbox, out, bad, log = (fresh_path(spark, name) for name in ("stream-in", "stream-out", "stream-rejected", "stream-log"))
@@ -186,16 +243,15 @@ def score_stream(t: LeadTables) -> DataFrame:
     rows = streaming.read_feature_stream(spark, inbox, spark.read.parquet(inbox).schema)
     for query in streaming.score_stream(trained.best.model, rows, out, bad, log):
         query.awaitTermination()
-    return spark.read.parquet(out)
+    return banded(spark.read.parquet(out))
 
 
 def explain_tree(t: LeadTables) -> DataFrame:
-    """Shapley contributions of a forest for every row, with the base value and the probability."""
+    """Shapley contributions of a forest for every row: whether they and the base value add up to the probability."""
     trained = _train(t, ["Random Forest"])
-    scored = models.score(trained.best.model, trained.rows)
-    return explain.tree_contributions(trained.best.model, scored).select(
-        "lead_id", "probability_1", "base_value", "space", *explain.CONTRIBUTIONS
-    )
+    found = explain.tree_contributions(trained.best.model, models.score(trained.best.model, trained.rows))
+    total = sum((F.col(c) for c in explain.CONTRIBUTIONS), F.col("base_value"))
+    return found.select("lead_id", "space", (F.abs(total - F.col("probability_1")) < 1e-6).alias("adds_up"))
 
 
 QUERIES: dict[str, Query] = {
@@ -286,7 +342,7 @@ QUERIES: dict[str, Query] = {
             cleaning.fill_unknown(cleaning.dedup_first(t.leads))
         )
     ),
-    "model_matrix": _on(lambda t: encode.model_matrix(model_table(t))),
+    "model_matrix": _on(model_matrix),
     "stratified_split": _on(lambda t: encode.stratified_split(label_table(t))),
     "stratified_folds": _on(lambda t: encode.stratified_folds(label_table(t))),
     "class_weights": _on(
@@ -306,13 +362,11 @@ QUERIES: dict[str, Query] = {
     "roc_curve": _on(lambda t: metrics.roc_curve(example_scores(t))),
     "confusion_matrix": _on(lambda t: metrics.confusion_matrix(example_scores(t))),
     "select_best": _on(lambda t: select_best_rule(t)),
-    "model_leaderboard": _on(lambda t: _train(t).leaderboard),
-    "cv_f1": _on(lambda t: models.cv_f1(_train(t).best.name, _train(t).rows)),
-    "feature_importance": _on(
-        lambda t: models.feature_importance(t.leads.sparkSession, _train(t, ["Random Forest"]).best.model)
-    ),
+    "model_leaderboard": _on(lambda t: checked_board(_train(t).leaderboard)),
+    "cv_f1": _on(fold_scores),
+    "feature_importance": _on(forest_importance),
     # scoring and explanation
-    "batch_score": _on(lambda t: (lambda tr: scoring.batch_score(tr.best.model, tr.rows))(_train(t, ["Random Forest"]))),
+    "batch_score": _on(batch_score),
     "score_stream": _on(score_stream),
     "validate_requests": _on(
         lambda t: scoring.rejected_requests(example_requests(t), known_sources(t)).select("lead_id", "reason")

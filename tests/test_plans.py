@@ -26,18 +26,18 @@ def loaded(spark):
 def test_training_and_scoring(spark, loaded):
     out = fresh_path(spark, "out")
     trained = training.run_training(spark, *loaded, out, QUICK)
-    assert trained.rows.count() == 187 and trained.test.count() == 38
+    assert trained.rows.count() == 1500 and trained.test.count() == 300
     document = spark.read.json(f"{out}/metrics").first()
     assert len(document["models"]) == 4 and 0 <= document["cv_f1_mean"] <= 1
-    assert spark.read.parquet(f"{out}/confusion_matrix").agg(F.sum("n")).first()[0] == 38
+    assert spark.read.parquet(f"{out}/confusion_matrix").agg(F.sum("n")).first()[0] == 300
     assert spark.read.parquet(f"{out}/feature_importance").count() == len(FEATURES)
 
     candidate, info = models.load_model(f"{out}/model")
     rows = scoring.accepted_requests(lead_features(*loaded).select("lead_id", *FEATURES), info["source_values"])
     for which in trained.candidates[:2]:
         explained = batch_scoring.explain_rows(which.model, rows)
-        assert explained.where(F.size("top_factors") == 5).count() == 187
-    assert scoring.batch_score(candidate.model, rows).count() == 187
+        assert explained.where(F.size("top_factors") == 5).count() == 1500
+    assert scoring.batch_score(candidate.model, rows).count() == 1500
 
 
 def test_exploration(loaded):

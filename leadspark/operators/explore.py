@@ -141,6 +141,13 @@ def monthly_patterns(interactions: DataFrame) -> DataFrame:
     )
 
 
+def interaction_class_counts(interactions: DataFrame) -> DataFrame:
+    """Interactions of converted leads and of the others; those without a lead count as not converted."""
+    per_lead = interactions.groupBy("lead_id").agg(F.count("*").alias("rows"), F.max(is_conversion()).alias("hit"))
+    converted = (F.coalesce("hit", F.lit(False)) & F.col("lead_id").isNotNull()).cast("int")
+    return per_lead.groupBy(converted.alias("converted")).agg(F.sum("rows").alias("n_interactions"))
+
+
 def _weekdays(events: DataFrame, counted: Column) -> DataFrame:
     """Counts on the seven weekdays, Monday first; null for a day without events."""
     days = events.sparkSession.createDataFrame(list(enumerate(WEEKDAYS, 1)), "dow_no int, day_of_week string")

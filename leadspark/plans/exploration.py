@@ -46,6 +46,7 @@ def report(leads: DataFrame, interactions: DataFrame) -> dict[str, Callable[[],
         "session_box": lambda: explore.session_box(clean, interactions),
         "pricing_means": lambda: explore.pricing_means(clean, interactions),
         "monthly_patterns": lambda: explore.monthly_patterns(interactions),
+        "interaction_class_counts": lambda: explore.interaction_class_counts(interactions),
         "weekday_events": lambda: explore.weekday_events(interactions),
         "weekday_high_intent": lambda: explore.weekday_high_intent(interactions),
         "time_to_convert_summary": lambda: explore.time_to_convert_summary(interactions),

@@ -9,7 +9,7 @@ from leadspark.constants import (
 )
 from leadspark.operators.features import ENGINEERED, LOGS, RATIOS, TEMPORAL
 from leadspark.plans.registry import EXAMPLE_INTERCEPT, EXAMPLE_WEIGHTS
-from leadspark.sources.rolemap import INTERACTIONS_SQL, LEADS_SQL
+from leadspark.sources.rolemap import INTERACTIONS_SQL, LEADS_SQL, ORDER_EVENTS_SQL
 
 _high = ", ".join(f"'{e}'" for e in HIGH_INTENT_EVENTS)
 _stage = "CASE funnel_stage " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in FUNNEL_ORDER.items()) + " END"
@@ -17,10 +17,15 @@ _hit = f"(coalesce(event_name IN ({_high}), false) OR form_completed IS NOT DIST
 _pages = ", ".join(f"CAST(count_if(page_name = '{v}') AS BIGINT) AS {c}" for c, v in PAGE_COUNTS.items())
 _events = ", ".join(f"CAST(count_if(event_name = '{v}') AS BIGINT) AS {c}" for c, v in EVENT_COUNTS.items())
 _LEAD_COLUMNS = [
-    "lead_id", "ingest_seq", "created_at", "source", "lead_segment", "industry", "company_size", "funding_stage", "job_role", "city",
+    "lead_id", "ingest_seq", "created_at", "source", "lead_segment", "industry", "company_size", "funding_stage", "job_role",
+    "account_type", "device_type", "employee_growth_band", "region", "first_touch_channel", "browser", "annual_revenue_band", "city",
     "employee_count", "company_age_years",
 ]
-_FILLED = ["source", "lead_segment", "company_size", "industry", "funding_stage", "job_role"]
+_FILLED = [
+    "source", "lead_segment", "company_size", "industry", "funding_stage", "job_role",
+    "account_type", "device_type", "employee_growth_band", "region", "first_touch_channel",
+]
+_EXPLORED = ["city", "browser", "company_size", "annual_revenue_band"]
 _INTERACTION_COLUMNS = [
     "interaction_id", "lead_id", "session_id", "ts", "event_name", "form_completed", "page_name", "funnel_stage", "time_on_page_seconds",
     "scroll_depth_percent", "session_number", "is_return_visitor", "click_count", "mouse_activity_score",
@@ -50,6 +55,8 @@ _CTE = {
     "interactions_raw": INTERACTIONS_SQL.format(events="events"),
     "known": "SELECT * FROM interactions_raw WHERE lead_id IS NOT NULL",
     "leads_first": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY ingest_seq) AS rn FROM leads_raw) WHERE rn = 1",
+    "order_events": ORDER_EVENTS_SQL.format(orders="orders"),
+    "order_ids": f"SELECT DISTINCT lead_id FROM order_events WHERE lead_id IS NOT NULL AND {_hit}",
     "ids": f"SELECT DISTINCT lead_id FROM known WHERE {_hit}",
     "labelled": "SELECT l.*, CASE WHEN i.lead_id IS NULL THEN 0 ELSE 1 END AS converted FROM leads_first l LEFT JOIN ids i ON l.lead_id = i.lead_id",
     "ref": "SELECT max(ts) AS ref_ts FROM interactions_raw",
@@ -76,7 +83,9 @@ _CTE = {
         total_events / (CASE session_count WHEN 0 THEN 1 ELSE session_count END) AS events_per_session,
         ln(1 + total_time_seconds) AS log_total_time_seconds, ln(1 + total_events) AS log_total_events, ln(1 + total_clicks) AS log_total_clicks
         FROM agg a JOIN temporal t ON a.lead_id = t.lead_id""",
-    "profile": "SELECT l.* EXCLUDE (company_size, job_role, employee_count, company_age_years), coalesce(company_size, 'Unknown') AS company_size, "
+    "profile": "SELECT l.* EXCLUDE (company_size, job_role, account_type, device_type, employee_growth_band, region, first_touch_channel, employee_count, company_age_years), "
+        "coalesce(account_type, 'Unknown') AS account_type, coalesce(device_type, 'Unknown') AS device_type, coalesce(region, 'Unknown') AS region, "
+        "coalesce(employee_growth_band, 'Unknown') AS employee_growth_band, coalesce(first_touch_channel, 'Unknown') AS first_touch_channel, coalesce(company_size, 'Unknown') AS company_size, "
         "coalesce(job_role, 'Unknown') AS job_role, coalesce(employee_count, m1) AS employee_count, coalesce(company_age_years, m2) AS company_age_years, "
         "ln(1 + coalesce(employee_count, m1)) AS log_employee_count "
         "FROM labelled l CROSS JOIN (SELECT median(employee_count) AS m1, median(company_age_years) AS m2 FROM leads_first)",
@@ -86,7 +95,7 @@ _CTE = {
     "model": f"SELECT lead_id, converted, {_out(FEATURES)} FROM feats",
     "scored": """SELECT lead_id, converted, p AS probability_1, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction
         FROM (SELECT *, round(1 / (1 + exp(-(0.4 * max_funnel_order + 0.02 * total_events - 3.0))), 9) AS p FROM model)""",
-    "imputed": "SELECT l.* EXCLUDE (city, company_size, employee_count, company_age_years), coalesce(city, 'Unknown') AS city, "
+    "imputed": "SELECT l.* EXCLUDE (city, company_size, browser, annual_revenue_band, employee_count, company_age_years), coalesce(city, 'Unknown') AS city, coalesce(browser, 'Unknown') AS browser, coalesce(annual_revenue_band, 'Unknown') AS annual_revenue_band, "
         "coalesce(company_size, 'Unknown') AS company_size, coalesce(employee_count, m1) AS employee_count, coalesce(company_age_years, m2) AS company_age_years "
         "FROM leads_raw l CROSS JOIN (SELECT median(employee_count) AS m1, median(company_age_years) AS m2 FROM leads_raw)",
     "clean": "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY ingest_seq) AS rn FROM imputed) WHERE rn = 1",
@@ -248,6 +257,7 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     "interaction_time_range": "SELECT min(ts) AS min_ts, max(ts) AS max_ts, CAST(floor(date_diff('microsecond', min(ts), max(ts)) / 86400000000.0) AS BIGINT) AS span_days FROM interactions_raw",
     "interactions_before_creation": "SELECT i.interaction_id, i.lead_id, i.ts, l.created_at FROM interactions_raw i LEFT JOIN leads_first l ON i.lead_id = l.lead_id WHERE i.ts < l.created_at",
     "dedup_leads_first": "SELECT * FROM leads_first",
+    "fill_unknown_exploration": "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, 'Unknown') AS {c}" for c in _EXPLORED) + ") FROM leads_raw",
     "fill_unknown": "SELECT * REPLACE (" + ", ".join(f"coalesce({c}, 'Unknown') AS {c}" for c in _FILLED) + ") FROM leads_raw",
     "impute_median_train": f"SELECT lead_id, {_MEDIANS} FROM profile",
     "impute_median_eda": f"SELECT lead_id, ingest_seq, {_MEDIANS} FROM imputed",
@@ -257,7 +267,7 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     "return_flag_normalise": """SELECT interaction_id, flag_text, CASE WHEN lower(flag_text) IN ('true', 'yes') THEN 1 ELSE 0 END AS flag FROM
         (SELECT interaction_id, CASE interaction_id % 8 WHEN 0 THEN 'true' WHEN 1 THEN 'True' WHEN 2 THEN 'yes' WHEN 3 THEN 'no' WHEN 4 THEN 'FALSE'
          WHEN 5 THEN '1' WHEN 6 THEN 'maybe' END AS flag_text FROM interactions_raw)""",
-    "drop_model_excluded": f"SELECT {_out([c for c in _feature_columns if c not in ('lead_id', 'created_at', 'city', 'converted')])} FROM feats",
+    "drop_model_excluded": f"SELECT {_out([c for c in _feature_columns if c not in ('lead_id', 'created_at', 'city', 'browser', 'annual_revenue_band', 'converted')])} FROM feats",
     "numeric_projection": f"SELECT lead_id AS lead, {_coded}, {_out(_numeric_columns)} FROM feats",
     "model_features": f"SELECT lead_id, converted, {', '.join(FEATURES)} FROM model",
     "high_intent_events": f"SELECT interaction_id, lead_id, event_name FROM interactions_raw WHERE event_name IN ({_high})",
@@ -294,6 +304,12 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
         total_events, conv_events, unique_leads, round(conv_events * 100.0 / total_events, 4) AS conv_rate FROM
         (SELECT CAST(month(ts) AS INT) AS month, count(interaction_id) AS total_events, CAST(sum(CASE WHEN i.lead_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS conv_events, count(DISTINCT r.lead_id) AS unique_leads
          FROM interactions_raw r LEFT JOIN ids i ON r.lead_id = i.lead_id WHERE ts IS NOT NULL GROUP BY 1)""",
+    "monthly_patterns_orders": """SELECT month, CASE month WHEN 1 THEN 'Jan' WHEN 2 THEN 'Feb' WHEN 3 THEN 'Mar' WHEN 4 THEN 'Apr' WHEN 5 THEN 'May' WHEN 6 THEN 'Jun' WHEN 7 THEN 'Jul' WHEN 8 THEN 'Aug' WHEN 9 THEN 'Sep' WHEN 10 THEN 'Oct' WHEN 11 THEN 'Nov' WHEN 12 THEN 'Dec' END AS month_name,
+        total_events, conv_events, unique_leads, round(conv_events * 100.0 / total_events, 4) AS conv_rate FROM
+        (SELECT CAST(month(ts) AS INT) AS month, count(interaction_id) AS total_events, CAST(sum(CASE WHEN i.lead_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS conv_events, count(DISTINCT r.lead_id) AS unique_leads
+         FROM order_events r LEFT JOIN order_ids i ON r.lead_id = i.lead_id WHERE ts IS NOT NULL GROUP BY 1)""",
+    "interaction_class_counts": """SELECT CASE WHEN i.lead_id IS NULL THEN 0 ELSE 1 END AS converted, count(*) AS n_interactions
+        FROM interactions_raw r LEFT JOIN ids i ON r.lead_id = i.lead_id GROUP BY 1""",
     "dow_all_events": _weekdays("true", "count(interaction_id)", "ORDER BY dow_no"),
     "dow_high_intent": _weekdays(f"event_name IN ({_high})", "count(*)", "ORDER BY n_events DESC NULLS LAST, dow_no"),
     "time_to_convert": "SELECT lead_id, round(days_to_convert, 6) AS days_to_convert FROM ttc",

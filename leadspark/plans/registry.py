@@ -10,13 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadspark.constants import FEATURES, MEDIAN_COLUMNS, TRAIN_CATEGORICALS
+from leadspark.constants import EXPLORE_CATEGORICALS, FEATURES, MEDIAN_COLUMNS, TRAIN_CATEGORICALS
 from leadspark.functions.scalars import flag_to_int, funnel_order, parse_ts, present
 from leadspark.functions.stats import box_stats
 from leadspark.operators import cleaning, encode, explain, explore, features, labels, metrics, models, quality, scoring
 from leadspark.session import fresh_path, stage
 from leadspark.sources import csv, sinks
-from leadspark.sources.rolemap import LeadTables, read_tables
+from leadspark.sources.rolemap import ORDER_EVENTS_SQL, LeadTables, read_tables
 from leadspark.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +284,7 @@ QUERIES: dict[str, Query] = {
     # cleaning
     "dedup_leads_first": _on(lambda t: cleaning.dedup_first(t.leads)),
     "fill_unknown": _on(lambda t: cleaning.fill_unknown(t.leads)),
+    "fill_unknown_exploration": _on(lambda t: cleaning.fill_unknown(t.leads, EXPLORE_CATEGORICALS)),
     "impute_median_train": _on(lambda t: cleaning.impute_medians(cleaning.dedup_first(t.leads)).select("lead_id", *MEDIAN_COLUMNS)),
     "impute_median_eda": _on(lambda t: cleaning.exploration_imputed(t.leads).select("lead_id", "ingest_seq", *MEDIAN_COLUMNS)),
     "parse_ts_coerce": _on(parse_ts_coerce),
@@ -323,6 +324,8 @@ QUERIES: dict[str, Query] = {
     "pricing_views_per_lead": _on(lambda t: explore.pricing_views_per_lead(t.interactions)),
     "pricing_means": _on(lambda t: explore.pricing_means(t.leads, t.interactions)),
     "monthly_patterns": _on(lambda t: explore.monthly_patterns(t.interactions)),
+    "monthly_patterns_orders": lambda spark, sf_dir: explore.monthly_patterns(spark.sql(ORDER_EVENTS_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))),
+    "interaction_class_counts": _on(lambda t: explore.interaction_class_counts(t.interactions)),
     "dow_all_events": _on(lambda t: explore.weekday_events(t.interactions)),
     "dow_high_intent": _on(lambda t: explore.weekday_high_intent(t.interactions)),
     "time_to_convert": _on(lambda t: rounded(explore.time_to_convert(t.interactions))),

@@ -22,6 +22,13 @@ SELECT c_custkey AS lead_id,
   CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_nationkey < 8 THEN '1-50' WHEN c_nationkey < 16 THEN '51-500' ELSE '500+' END AS company_size,
   CASE c_custkey % 6 WHEN 0 THEN 'Bootstrapped' WHEN 1 THEN 'Seed' WHEN 2 THEN 'Series A' WHEN 3 THEN 'Series B' WHEN 4 THEN 'Series C+' ELSE 'Public' END AS funding_stage,
   CASE c_custkey % 7 WHEN 0 THEN 'Analyst' WHEN 1 THEN 'Manager' WHEN 2 THEN 'Senior Manager' WHEN 3 THEN 'CXO' WHEN 4 THEN 'VP' WHEN 5 THEN 'Intern' ELSE NULL END AS job_role,
+  CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_acctbal < 0 THEN 'Free' ELSE 'Business' END AS account_type,
+  CASE WHEN c_custkey % 10 = 1 THEN NULL WHEN c_custkey % 3 = 0 THEN 'Mobile' ELSE 'Desktop' END AS device_type,
+  CASE WHEN c_custkey % 12 = 5 THEN NULL WHEN c_custkey % 4 < 2 THEN 'Growing' ELSE 'Flat' END AS employee_growth_band,
+  CASE WHEN c_nationkey = 24 THEN NULL WHEN c_nationkey < 10 THEN 'EMEA' WHEN c_nationkey < 18 THEN 'APAC' ELSE 'AMER' END AS region,
+  CASE WHEN c_custkey % 15 = 2 THEN NULL WHEN c_custkey % 5 = 0 THEN 'Ads' ELSE 'Search' END AS first_touch_channel,
+  CASE WHEN c_custkey % 14 = 3 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Chrome' ELSE 'Firefox' END AS browser,
+  CASE WHEN c_acctbal < -500 THEN NULL WHEN c_acctbal < 5000 THEN '<5M' ELSE '>5M' END AS annual_revenue_band,
   CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('nation-', CAST(c_nationkey AS STRING)) END AS city,
   CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CAST(floor(10 + abs(c_acctbal) * 25) AS DOUBLE) END AS employee_count,
   CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey % 40 AS DOUBLE) END AS company_age_years
@@ -53,6 +60,13 @@ SELECT event_id AS interaction_id,
 FROM (SELECT e.*, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events} e) x
 """
 
+# Orders as interactions of their customers: several years, so that every month occurs.
+ORDER_EVENTS_SQL = """
+SELECT o_orderkey AS interaction_id, CASE WHEN o_orderkey % 401 = 0 THEN NULL ELSE o_custkey END AS lead_id, o_orderdate AS ts,
+  CASE WHEN o_orderkey % 37 = 0 THEN 'demo_request' ELSE 'order' END AS event_name, o_orderstatus = 'F' AND o_orderkey % 53 = 0 AS form_completed
+FROM {orders}
+"""
+
 
 @dataclass(frozen=True)
 class LeadTables:

@@ -2,7 +2,8 @@
 
 For each learned language a raw-content zstandard dictionary is made of excerpts of labelled texts. A text is
 compressed with every dictionary, whole, in blocks that each start from the dictionary alone; the language whose
-dictionary gives the smallest sum wins. If the next language is nearly as small, the prediction is marked as rejected.
+dictionary gives the smallest sum wins. Each block is led by a carrier that ends every dictionary: it always shrinks,
+so that even a few words are not stored as they are, which would make all sizes equal. If the next language is nearly as small, the prediction is marked as rejected.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from leadspark.llm.arrow import with_columns
 UNDETERMINED = "und"
 MAX_LANGUAGES = 500  # more distinct labels than this are taken for an error
 BLOCK = 4000  # bytes of normalised text compressed at once
+CARRIER = bytes(range(1, 32)) * 4  # not part of any normalised text
 # bytes that are no ASCII letter and no part of a longer character count as spaces
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -31,7 +33,7 @@ def normal(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", texts: int = 400, excerpt: int = 400, size: int = 32_768) -> dict[str, bytes]:
-    """A dictionary of at most ``size`` bytes for each non-null label.
+    """A dictionary of at most ``size`` bytes for each non-null label, the most frequent label first.
 
     The sample is bounded: per language the ``texts`` rows of the smallest hash of their key, ``excerpt`` characters
     from each, repeated excerpts once. Each task keeps that many rows per language at most before the exchange.
@@ -44,31 +46,34 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
         found.setdefault(row.lang, []).append((row.n, normal(row.text)))
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {name: b"".join(dict.fromkeys(t for _, t in sorted(parts)))[:size] for name, parts in sorted(found.items())}
+    rows = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().where(F.col("lang").isin(list(found))).collect()} if found else {}
+    names = sorted(found, key=lambda name: (-rows[name], name))
+    return {name: b"".join(dict.fromkeys(t for _, t in sorted(found[name])))[:size] for name in names}
 
 
 class Compressors:
     """One compressor per language."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.names = sorted(dictionaries)
+        self.names = list(dictionaries)
         self.of = []
         for name in self.names:
-            log = max(len(dictionaries[name]).bit_length(), 10)
+            content = dictionaries[name] + CARRIER
+            log = max(len(content).bit_length(), 10)
             settings = zstandard.ZstdCompressionParameters(
                 window_log=17, chain_log=log - 1, hash_log=log, search_log=3, min_match=3, target_length=16, strategy=zstandard.STRATEGY_GREEDY,
                 write_content_size=0, write_checksum=0, write_dict_id=0,
             )
-            dictionary = zstandard.ZstdCompressionDict(dictionaries[name] or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             dictionary.precompute_compress(compression_params=settings)
             self.of.append(zstandard.ZstdCompressor(compression_params=settings, dict_data=dictionary))
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score and margin. Ties go to the name that comes first; no letters or no languages give ``und``."""
+        """Language, score and margin. Ties go to the more frequent language; no letters or no languages give ``und``."""
         if not self.names or not text or not any(map(str.isalpha, text)):
             return UNDETERMINED, 0.0, 0.0
         data = normal(text)
-        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        blocks = [CARRIER + data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(c.compress(b)) for b in blocks) for c in self.of]
         least = min(sizes)
         at = sizes.index(least)

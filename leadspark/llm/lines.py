@@ -22,14 +22,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadspark.llm.arrow import small
 from leadspark.llm.components import components
 from leadspark.llm.simhash import link_tiles
 from leadspark.session import stage
 
 TILE = 4096  # SimHashes of a bucket compared at once
 PART_LINES, PART_CHARS = 512, 2_000_000  # lines of a group, and their characters, verified at once
-CHUNK_WORDS = 200_000  # words whose bits are counted at once
-CACHE_WORDS = 500_000  # hashes of words that a task remembers
+CHUNK_WORDS = 100_000  # words whose bits are counted at once
+CACHE_WORDS = 100_000  # hashes of words that a task remembers
 
 
 class _Hashes(dict):
@@ -77,7 +78,7 @@ def _lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, names = _Hashes(), [f.name for f in schema.fields]
-        for batch in batches:
+        for batch in small(batches):
             rows, lines, digests, words, counts, fps = [], [], [], [], [], []
             for row, value in enumerate(batch.column(3)):
                 for k, line in enumerate((value.as_py() or "").split("\n")):
@@ -225,7 +226,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     fetched = docs.select(*_identity(key, text), F.col(text).cast("string").alias("_text")).join(wanted, ["_doc_a", "_doc_b"]).select("_lines", "_text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = [(x["id"], x["grp"], x["fp"], " ".join(normal(lines[x["line"]]))) for wanted, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for lines in [value.split("\n")] for x in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "grp", "fp", "norm"])
 
@@ -243,7 +244,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     schema = T.StructType([joined.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed") if counts])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             get = lambda n: batch.column(batch.schema.get_field_index(n))
             out, total, removed = [], [], []
             for value, keep, turn in zip(get(text), get("_kept"), get("_nth").to_pylist()):

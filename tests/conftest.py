@@ -7,7 +7,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from leadspark.session import build_session  # noqa: E402
+from leadspark.session import build_session, drop_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -17,4 +17,5 @@ def spark():
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.default.parallelism": "4"},
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    drop_staged(session)

@@ -28,9 +28,9 @@ from leadspark.llm.simhash import link_tiles
 from leadspark.session import stage
 
 TILE = 4096  # SimHashes of a bucket compared at once
-PART_LINES, PART_CHARS = 512, 2_000_000  # lines of a group, and their characters, verified at once
+PART_LINES, PART_CHARS = 2048, 2_000_000  # lines of a group, and their characters, verified at once
 CHUNK_WORDS = 100_000  # words whose bits are counted at once
-CACHE_WORDS = 100_000  # hashes of words that a task remembers
+CACHE_WORDS = 250_000  # hashes of words that a task remembers
 
 
 class _Hashes(dict):
@@ -169,18 +169,22 @@ def similar(a: str, b: str, least: float) -> bool:
 
 
 def _verified(lines: DataFrame, radius: int, least: float, part_lines: int) -> DataFrame:
-    """(a, b): a forest of the verified links between lines (id, grp, fp, norm) of a written table."""
+    """(id, root): the verified components of two or more of the lines (id, grp, fp, norm) of a written table.
+
+    Groups that fit one part are settled where they are checked; of the others only forests of links come out, which
+    are joined afterwards.
+    """
     sizes = stage(lines.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.length("norm")).alias("chars")).where("n > 1"), "group-sizes")
     parts = F.when((F.col("n") <= part_lines) & (F.col("chars") <= PART_CHARS), 1).otherwise(F.ceil(2 * F.greatest(F.col("n") / part_lines, F.col("chars") / PART_CHARS)))
     placed = lines.join(sizes.select("grp", parts.cast("int").alias("parts")), "grp")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = [F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")]
-    groups = placed.select("grp", *pair, F.struct("id", "fp", "norm").alias("member")).repartition("grp", "i", "j").groupBy("grp", "i", "j").agg(F.collect_list("member").alias("members"))
+    groups = placed.select("grp", *pair, "parts", F.struct("id", "fp", "norm").alias("member")).repartition("grp", "i", "j").groupBy("grp", "i", "j").agg(F.collect_list("member").alias("members"), F.first("parts").alias("parts"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for members in batch.column(0):
+            a, b, settled = [], [], []
+            for members, parts in zip(batch.column(0), batch.column(1).to_pylist()):
                 ids, fps, norms = (members.values.field(k) for k in range(3))
                 ids, fps, norms = ids.to_numpy(), fps.to_numpy().view(np.uint64), norms.to_pylist()
                 group = np.arange(len(ids))
@@ -189,14 +193,25 @@ def _verified(lines: DataFrame, radius: int, least: float, part_lines: int) -> D
                     while len(near):
                         j = near[0]
                         if similar(norms[i], norms[j], least):
-                            a.append(ids[i]), b.append(ids[j])
+                            if parts > 1:
+                                a.append(ids[i]), b.append(ids[j]), settled.append(False)
                             group[group == group[i]] = group[j]
                             near = near[group[near] != group[i]]
                         else:
                             near = near[1:]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if parts == 1:
+                    _, place, times = np.unique(group, return_inverse=True, return_counts=True)
+                    roots = np.full(len(times), np.iinfo(np.int64).max)
+                    np.minimum.at(roots, place, ids)
+                    together = times[place] > 1
+                    a += ids[together].tolist()
+                    b += roots[place[together]].tolist()
+                    settled += [True] * int(together.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(settled, pa.bool_())], names=["a", "b", "settled"])
 
-    return groups.select("members").mapInArrow(check, "a long, b long")
+    found = stage(groups.select("members", "parts").mapInArrow(check, "a long, b long, settled boolean"), "verified")
+    rest = components(found.where("NOT settled")).select(F.col("vertex").alias("id"), F.col("component").alias("root"))
+    return found.where("settled").select(F.col("a").alias("id"), F.col("b").alias("root")).union(rest)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, least: float = 0.8, tile: int = TILE, part_lines: int = PART_LINES, counts: bool = True) -> DataFrame:
@@ -231,7 +246,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "grp", "fp", "norm"])
 
     texts = stage(fetched.mapInArrow(cut, "id long, grp long, fp long, norm string").dropDuplicates(["id"]), "line-texts")
-    same = components(_verified(texts, radius, least, part_lines)).select(F.col("vertex").alias("id"), F.col("component").alias("root"))
+    same = _verified(texts, radius, least, part_lines)
     linked = stage(candidates.join(same, "id").select("digest", "first", "root"), "linked")
     dropped = linked.join(stage(linked.groupBy("root").agg(F.min("first").alias("earliest")), "roots"), "root").where("first <> earliest").select("digest")
 

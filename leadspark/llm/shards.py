@@ -3,7 +3,7 @@
 Rows get an order by a 64-bit key. Splitters, the borders between parts of that order, are found by counting: each
 round counts the exact bytes between candidate borders over all partitions and puts new candidates where a border
 has not met its tolerance, until every border has or no key lies between its neighbours. Only then do rows move,
-once, straight to their part. A shard is several neighbouring parts, so no shard is ever one task, and places inside
+once, straight to their part. Rows are written with their key first: what is counted and what moves are one table. A shard is several neighbouring parts, so no shard is ever one task, and places inside
 a shard come from the parts' row counts.
 """
 
@@ -79,8 +79,7 @@ def splitters(sizes: DataFrame, parts: int, tolerance: float, key: str = "key",
 def spread_key(*columns: str) -> Column:
     """A 64-bit key that shuffles the rows and tells apart even equal ones.
 
-    The last term is a row's place in its partition. It is the same each time a table on disk is read with the same
-    settings; stage ``docs`` first if they come from anything else.
+    The last term is a row's place in its partition, which another scan may change; ``shard`` computes it once.
     """
     return F.xxhash64(*columns, F.monotonically_increasing_id())
 
@@ -95,8 +94,8 @@ def shard(docs: DataFrame, shards: int, size: Column, key: Column, tolerance: fl
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("size", "shard", "slot")]
     per_shard = parts_per_shard or max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    keyed = docs.select(*names, size.cast("long").alias("size"), key.cast("long").alias("_key"))
-    sizes = stage(keyed.select(F.col("_key").alias("key"), "size"), "sizes")
+    keyed = stage(docs.select(*names, size.cast("long").alias("size"), key.cast("long").alias("_key")), "keyed")
+    sizes = keyed.select(F.col("_key").alias("key"), "size")
     # borders between shards are held to the tolerance of a shard, those inside to the same bytes
     cuts = np.array(splitters(sizes, shards * per_shard, tolerance * per_shard), dtype=np.int64)
 

@@ -65,3 +65,20 @@ def test_rows_move_once(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 50).alias("text"))
     plan = shards.shard(docs, 4, F.length("text"), shards.spread_key("doc_id"))._jdf.queryExecution().executedPlan().toString()
     assert sum("text" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line) <= 1
+
+
+def test_other_file_splits_after_counting_change_nothing(spark, tmp_path):
+    rows = [(7, "same text")] * 400 + [(k, "x" * (k % 90)) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, ("1g", "0", "1")):
+            spark.conf.set(n, v)
+        placed = op10_histogram_shards(spark, str(tmp_path))
+        for n, v in zip(names, ("1k", "1k", "64")):
+            spark.conf.set(n, v)
+        check(placed.collect(), rows, 600)
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)

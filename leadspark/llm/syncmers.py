@@ -3,8 +3,8 @@
 A text is cut into units: words, or single characters of scripts without case. A run of ``k`` units is chosen if the
 least hash among its runs of ``s`` units is that of its first or its last one. The choice depends on nothing outside
 the ``k`` units, so equal passages choose equal anchors wherever they stand. About 2 / (k - s + 1) of all runs are
-chosen, and at least one of any k - s + 1 neighbouring ones. The fingerprint holds the ``SKETCH`` smallest anchors,
-which estimate how much two texts share.
+chosen, and at least one of any k - s + 1 neighbouring ones. The fingerprint holds every anchor with its place, so
+what two texts share is counted, and so is how much of it stands at one offset.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 K, S = 7, 2  # units of an anchor, and of the runs inside that choose it
-SKETCH = 64  # anchors of a fingerprint
+SKETCH = None  # anchors of a fingerprint: all
 UNIT = r"\p{Lo}|[^\s\p{Lo}]{1,32}"  # longer words are cut
 
 
@@ -54,16 +54,56 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: _anchors(h, k, s))
 
 
-def sketch(found: Column, size: int = SKETCH) -> Column:
-    """The ``size`` least distinct hashes of anchors, as integers in ascending order; all, if there are fewer."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: F.shiftright(a["hash"], 32).cast("int")))), 1, size)
+def placed(found: Column) -> Column:
+    """Every anchor as one long, ascending: the upper 32 bits of its hash, then its start."""
+    return F.sort_array(F.transform(found, lambda a: F.shiftleft(F.shiftright(a["hash"], 32), 32).bitwiseOR(a["start"].cast("long"))))
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """The share of common anchors, estimated from two sketches: 1 for equal sketches, 0 if just one is empty."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), least))
-    return F.when(F.size(least) == 0, 1.0).otherwise(common / F.size(least))
+def sketch(anchors: Column) -> Column:
+    """The distinct hashes of ``placed`` anchors, as integers in ascending order."""
+    return F.array_distinct(F.transform(anchors, lambda x: F.shiftright(x, 32).cast("int")))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The share of common anchors of two sketches: 1 for equal sketches, 0 if just one is empty."""
+    common = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, 1.0).otherwise(common / union)
+
+
+def aligned(a: Column, b: Column) -> Column:
+    """The most anchors that two texts have in common at one offset, as a share of the longer one's anchors.
+
+    ``a`` and ``b`` are ``placed``. Anchors of equal hash are lined up by their starts, and each is held against its
+    neighbours of the other text, so repeats cost no more than others. At offset zero every repeat counts; at other
+    offsets an anchor that repeats counts with those neighbours only. Equal texts have 1, also if both are empty.
+    """
+    mask, low = F.lit(-(2**32)), F.lit(2**32 - 1)
+    # the side goes into the last bit, so starts take 31 bits
+    side = lambda x, n: F.transform(x, lambda v: v.bitwiseAND(mask).bitwiseOR(F.shiftleft(v.bitwiseAND(low), 1)).bitwiseOR(F.lit(n)))
+
+    def offset(x: Column, y: Column) -> Column:
+        """Of neighbours: the start in ``b`` less that in ``a``; null unless they are one anchor of each."""
+        sign = F.when(x.bitwiseAND(F.lit(1)) == 0, 1).otherwise(-1)
+        both = (F.shiftright(x, 32) == F.shiftright(y, 32)) & (x.bitwiseXOR(y).bitwiseAND(F.lit(1)) == 1)
+        return F.when(both, sign * (F.shiftright(y.bitwiseAND(low), 1) - F.shiftright(x.bitwiseAND(low), 1)))
+
+    def offsets(m: Column) -> Column:
+        pairs = F.zip_with(m, F.slice(m, 2, F.greatest(F.size(m), F.lit(1))), lambda x, y: offset(x, y))
+        return F.sort_array(F.filter(pairs, lambda d: d.isNotNull()))
+
+    def longest(found: Column) -> Column:
+        """The longest run of equal values."""
+        start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+        def step(state: Column, d: Column) -> Column:
+            run = F.when(state["last"] == d, state["run"] + 1).otherwise(1)
+            return F.struct(d.alias("last"), run.alias("run"), F.greatest(state["best"], run).alias("best"))
+
+        return F.aggregate(found, start, step, lambda state: state["best"])
+
+    most = F.greatest(F.size(a), F.size(b))
+    return F.when(most == 0, 1.0).otherwise(longest(let(F.sort_array(F.concat(side(a, 0), side(b, 1))), offsets)) / most)
 
 
 def shown(a: Column) -> Column:
@@ -106,20 +146,26 @@ def with_next(docs: DataFrame, key: str, values: list[str], tie: str, buckets: i
 
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and by position
+    anchors, edited_anchors, aligned_edited, aligned_next.
 
     The edited text is the text with its last third replaced by the first third's worth of the next document's text,
-    by descending key. Null texts count as empty; the only document is its own next. Repeated rows stay rows.
+    by descending key. Null texts count as empty; the only document is its own next. Repeated rows stay rows. Anchors
+    of a whole text are longer than it is, so only texts move, and the next one's anchors are computed anew.
     """
     own = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    # the sketch travels with the text, as the document before needs it too
-    own = own.select("*", F.xxhash64("_text").alias("_tie"), sketch(anchors(F.col("_text"))).alias("_s"))
-    pairs = with_next(own, key, ["_text", "_s"], "_tie")
+    pairs = with_next(own.select("*", F.xxhash64("_text").alias("_tie")), key, ["_text"], "_tie")
     third = F.floor(F.length("_text") / 3).cast("int")
     edited = F.concat(F.left(F.col("_text"), F.length("_text") - third), F.left(F.col("next__text"), third))
-    found = pairs.select(key, "_text", "_s", "next__s", edited.alias("_edited"))
-    found = found.select(key, F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"), "_s", "next__s", sketch(anchors(F.col("_edited"))).alias("_e"))
+    found = pairs.select(key, "_text", "next__text", edited.alias("_edited"))
+    found = found.select(
+        key, F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"),
+        *[placed(anchors(F.col(c))).alias(n) for c, n in (("_text", "_a"), ("_edited", "_b"), ("next__text", "_c"))],
+    )
+    found = found.select("*", *[sketch(F.col(c)).alias(f"{c}s") for c in ("_a", "_b", "_c")])
     return found.select(
-        key, "n_chars", "edited_sha256", shown(F.col("_s")).alias("fingerprint"), shown(F.col("_e")).alias("edited_fingerprint"),
-        likeness(F.col("_s"), F.col("_e")).alias("near_edited"), likeness(F.col("_s"), F.col("next__s")).alias("near_next"),
+        key, "n_chars", "edited_sha256", shown(F.col("_as")).alias("fingerprint"), shown(F.col("_bs")).alias("edited_fingerprint"),
+        likeness(F.col("_as"), F.col("_bs")).alias("near_edited"), likeness(F.col("_as"), F.col("_cs")).alias("near_next"),
+        F.col("_a").alias("anchors"), F.col("_b").alias("edited_anchors"),
+        aligned(F.col("_a"), F.col("_b")).alias("aligned_edited"), aligned(F.col("_a"), F.col("_c")).alias("aligned_next"),
     )

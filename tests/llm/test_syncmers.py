@@ -95,3 +95,39 @@ def test_plan_has_no_python_and_empty_table(spark, tmp_path):
     df = op9_syncmers(spark, str(tmp_path))
     assert df.collect() == []
     assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+
+
+def packed(text):
+    return sorted((h >> 32 << 32) | at for at, h in brute(text))
+
+
+def aligned(a, b):
+    merged, offsets = sorted([(x >> 32, x & 0xFFFFFFFF, 0) for x in a] + [(x >> 32, x & 0xFFFFFFFF, 1) for x in b]), {}
+    for (h, x, i), (g, y, j) in zip(merged, merged[1:]):
+        if h == g and i != j:
+            d = (y - x) * (1 if i == 0 else -1)
+            offsets[d] = offsets.get(d, 0) + 1
+    return max(offsets.values(), default=0) / max(len(a), len(b)) if a or b else 1.0
+
+
+def test_every_anchor_and_its_place(spark, tmp_path):
+    rng = random.Random(5)
+    long = lambda: [f"u{rng.randrange(10**9)}" for _ in range(3000)]
+    a, b = long(), long()
+    b[2000:2060] = a[100:160]  # a passage of 60 words in two long texts
+    c = a[1500:] + a[:1500]  # the same text with its halves swapped
+    rows = [(9, " ".join(c)), (8, " ".join(a)), (7, " ".join(b)), (6, "to be or not to be that is " * 40), (5, "to be or not to be that is " * 50), (4, ""), (3, "short one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op9_syncmers(spark, str(tmp_path)).collect()}
+    texts = dict(rows)
+    for k, r in got.items():
+        following = texts[max([x for x in texts if x < k], default=max(texts))]
+        third = len(texts[k]) // 3
+        own, edited, after = (packed(t) for t in (texts[k], texts[k][: len(texts[k]) - third] + following[:third], following))
+        assert r.anchors == own and r.edited_anchors == edited
+        assert (round(r.aligned_edited, 9), round(r.aligned_next, 9)) == (round(aligned(own, edited), 9), round(aligned(own, after), 9))
+    shared = len({h for _, h in brute(" ".join(a[100:160]))})
+    assert shared >= 9 and got[8].near_next * len(set(brute(" ".join(a))) | set(brute(" ".join(b)))) > shared - 1
+    assert got[8].aligned_next * max(len(got[8].anchors), len(got[7].anchors)) >= shared
+    # moved halves: nearly all anchors are common, half of them at one offset
+    assert got[9].near_next > 0.98 and 0.4 < got[9].aligned_next < 0.6

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pages, pii, shards, simhash, syncmers, topk
+from leadspark.llm import byte_bpe, langid, lines, packing, pages, pii, repair, shards, simhash, syncmers, topk
 from leadspark.session import stage
 
 
@@ -87,6 +87,10 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(repair.repair(repair.damage(_table(spark, sf_dir, "conversations")), "times"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_paths": op1_host_paths,
     "op2_weak_pii": op2_weak_pii,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit": op8_best_fit,
     "op9_syncmers": op9_syncmers,
     "op10_histogram_shards": op10_histogram_shards,
+    "op11_survivors": op11_survivors,
 }
 # vectors that take part, their integers, and every pair scored; each id counts once
 OP6_SQL = """
@@ -115,4 +120,90 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
-ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL}
+# CRC-32 of a text of ASCII characters
+_CRC32 = (
+    "xor(4294967295, list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT for x in string_split({0}, '')], "
+    "lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))))"
+)
+_END = "right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+
+
+def _step(kind: str, source: int, role: str = "") -> str:
+    """One edit after the ``source``-th of four states ``a``: (cost c, letters e, repaired o, its turns n)."""
+    cost, letter, line = {
+        "D": ("3", "D", ""), "I": ("2", "I", f"'{role}:'"),
+        "K": ("CAST(r.fault = 3 AS INT)", "K", "r.role || ':' || r.text"), "R": ("2 + CAST(r.fault = 3 AS INT)", "R", f"'{role}:' || r.text"),
+    }[kind]
+    s = f"a[{source}]"
+    out = f"{s}.o || CASE WHEN {s}.n > 0 THEN chr(10) ELSE '' END || {line}" if line else f"{s}.o"
+    return f"{{'c': {s}.c + {cost}, 'e': {s}.e || '{letter}', 'o': {out}, 'n': {s}.n + {int(bool(line))}}}"
+
+
+def _best(*found: str) -> str:
+    return f"list_sort([x for x in [{', '.join(found)}] if x.c < 1000000000])[1]"
+
+
+# the four states: nothing kept, after the system turn, after a user turn, after an assistant turn; unreached ones cost a billion
+_NONE = "{'c': 1000000000, 'e': '', 'o': '', 'n': 0}"
+_USER = [1, 2, 4]
+
+
+def _kept(condition: str, edit: str) -> str:
+    return f"CASE WHEN {condition} THEN {edit} ELSE {_NONE} END"
+
+
+_SOUND = "r.fault NOT IN (1, 2)"
+_ROW = ", ".join([
+    _step("D", 1),
+    f"coalesce({_best(_step('D', 2), _kept(_SOUND + ' AND r.x = chr(115)', _step('K', 1)))}, {_NONE})",
+    f"coalesce({_best(_step('D', 3), *[_kept(_SOUND + ' AND r.x = chr(117)', _step('K', s)) for s in _USER], *[_kept(_SOUND, _step('R', s, 'user')) for s in _USER])}, {_NONE})",
+    f"coalesce({_best(_step('D', 4), _kept(_SOUND + ' AND r.x = chr(97)', _step('K', 3)), _kept(_SOUND, _step('R', 3, 'assistant')))}, {_NONE})",
+])
+# inserts after a row: first to a user turn, then to an assistant turn
+_INSERT_USER = f"[a[1], a[2], {_best('a[3]', *[_step('I', s, 'user') for s in _USER])}, a[4]]"
+_INSERT_ASSISTANT = f"[a[1], a[2], a[3], {_best('a[4]', _step('I', 3, 'assistant'))}]"
+
+
+def _apply(state: str, *steps: str) -> str:
+    """``steps`` one after the other, each an expression over the states ``a``."""
+    for step in steps:
+        state = f"list_transform([{state}], lambda a: {step})[1]"
+    return state
+
+
+_START = _apply(f"[{{'c': 0, 'e': '', 'o': '', 'n': 0}}, {_NONE}, {_NONE}, {_NONE}]", _INSERT_USER, _INSERT_ASSISTANT)
+OP11_SQL = f"""
+WITH kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, k, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM kinds, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copy(k)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS place FROM damaged
+), repeats AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS seen FROM placed
+), judged AS (
+  SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before,
+    CASE WHEN {_END} = '' THEN 1 WHEN seen > 1 THEN 2 WHEN {_END} NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+  FROM repeats
+), grouped AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || x NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'x': x, 'fault': fault, 'role': role, 'text': text}} ORDER BY place) AS rows
+  FROM judged GROUP BY conv_id
+), decoded AS (
+  SELECT * EXCLUDE (rows), list_reduce(rows, lambda a, r: {_apply('a', '[' + _ROW + ']', _INSERT_USER, _INSERT_ASSISTANT)}, {_START}) AS a FROM grouped
+), ended AS (
+  SELECT *, list_sort([x for x in [a[1], a[4]] if x.c < 1000000000])[1] AS w FROM decoded
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(w.c, 0) AS BIGINT) AS cost,
+  coalesce(w.e, '') AS audit, sha256(coalesce(w.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL, "op11_survivors": OP11_SQL}

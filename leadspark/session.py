@@ -45,10 +45,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts lineage and survives the loss of executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the table that ``stage`` wrote for ``df``, once nothing that reads it is left to run."""
+    _delete(df.sparkSession, df.staged_path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every staged table of this application; call it once nothing that reads them is left to run."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(staged_dir(spark))
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, staged_dir(spark))

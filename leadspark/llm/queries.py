@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pages, pii, repair, shards, simhash, syncmers, topk
+from leadspark.llm import byte_bpe, langid, lines, packing, pages, pii, repair, shards, simhash, syncmers, topk, trie
 from leadspark.session import stage
 
 
@@ -91,6 +91,10 @@ def op11_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audits(repair.repair(repair.damage(_table(spark, sf_dir, "conversations")), "times"))
 
 
+def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_paths": op1_host_paths,
     "op2_weak_pii": op2_weak_pii,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_syncmers": op9_syncmers,
     "op10_histogram_shards": op10_histogram_shards,
     "op11_survivors": op11_survivors,
+    "op12_zfast_trie": op12_zfast_trie,
 }
 # vectors that take part, their integers, and every pair scored; each id counts once
 OP6_SQL = """
@@ -206,4 +211,30 @@ SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL, "op11_survivors": OP11_SQL}
+OP12_SQL = f"""
+WITH own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST,
+    substr(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), headed AS (
+  SELECT *, CAST({_CRC32.format("CAST(c AS VARCHAR)")} % 6 AS BIGINT) AS h FROM own
+), rebuilt AS (
+  SELECT o.c, list_concat(coalesce(p.l[1:h], []), o.l[h + 1:]) AS l FROM headed o LEFT JOIN own p ON p.c = o.c - o.c % 100
+), nodes AS (
+  SELECT l[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(l) = d), '')) AS ends_sha256
+  FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt) GROUP BY ALL
+), children AS (
+  SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), valued AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(n.k[d].x) ELSE 0 END AS saves
+  FROM nodes n LEFT JOIN children c ON c.k = n.k
+), above AS (
+  SELECT k[1:e] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saves) AS saved_tokens
+  FROM (SELECT k, n_children, saves, unnest(range(0, d + 1)) AS e FROM valued) GROUP BY 1
+)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM valued v JOIN above a ON a.k = v.k LEFT JOIN nodes p ON v.d > 0 AND p.k = v.k[1:v.d - 1]
+"""
+
+ORACLES: dict[str, str] = {"op6_histogram_topk": OP6_SQL, "op11_survivors": OP11_SQL, "op12_zfast_trie": OP12_SQL}

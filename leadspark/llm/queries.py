@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.llm import byte_bpe, langid, lines, packing, pages, pii, repair, shards, simhash, syncmers, topk, trie
+from leadspark.llm import byte_bpe, langid, licenses, lines, packing, pages, pii, repair, shards, simhash, syncmers, topk, trie
 from leadspark.session import stage
 
 
@@ -95,6 +95,11 @@ def op12_zfast_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_positional_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs).select("doc_id", *[f.name for f in licenses.FIELDS])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_host_paths": op1_host_paths,
     "op2_weak_pii": op2_weak_pii,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_histogram_shards": op10_histogram_shards,
     "op11_survivors": op11_survivors,
     "op12_zfast_trie": op12_zfast_trie,
+    "op13_positional_licenses": op13_positional_licenses,
 }
 # vectors that take part, their integers, and every pair scored; each id counts once
 OP6_SQL = """

@@ -5,65 +5,47 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.constants import FEATURES, MODEL_SETTINGS, SEED
-from leadspark.operators.encode import feature_stages, stratified_folds, stratified_split, with_weights
+from leadspark.constants import FEATURES, FOLDS, MODEL_SETTINGS, SEED
+from leadspark.operators import logistic, trees
+from leadspark.operators.encode import feature_stages, stratified_folds, stratified_split
 from leadspark.operators.metrics import auc_roc, classification_metrics, select_best
-from leadspark.session import stage
+from leadspark.session import stage, unstage
 
 LABEL = "converted"
-MAX_BINS = 128
-# Node statistics of one pass over the rows; the default of 256 needs several passes per level of a deep forest.
-TREE_MEMORY_MB = 1024
-
-
-def _logistic(settings: dict, n_rows: int) -> list:
-    """L2 penalty of strength 1/C on coefficients of features scaled by their population deviation.
-
-    Spark minimises the weighted mean loss, so the penalty is divided by the weight sum, which
-    balanced weights make equal to the row count. The scaler divides by the sample deviation; the
-    factor (n − 1)/n on the penalty makes both scalings give the same model.
-    """
-    penalty = (n_rows - 1) / n_rows / (settings["c"] * n_rows)
-    return [
-        StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
-        LogisticRegression(
-            featuresCol="scaled", labelCol=LABEL, weightCol="weight", regParam=penalty, elasticNetParam=0.0,
-            standardization=False, maxIter=settings["max_iter"],
-        ),
-    ]
+LOGISTIC = "Logistic Regression"
+
+
+def _forest(settings: dict) -> trees.Spec:
+    return trees.Spec(
+        "forest", settings["trees"], settings["depth"], per_node=int(len(FEATURES) ** 0.5), min_leaf=settings["min_leaf"], seed=SEED,
+    )
 
 
-def _forest(settings: dict, n_rows: int) -> list:
-    return [RandomForestClassifier(
-        labelCol=LABEL, weightCol="weight", numTrees=settings["trees"], maxDepth=settings["depth"],
-        minInstancesPerNode=settings["min_leaf"], featureSubsetStrategy=str(int(len(FEATURES) ** 0.5)),
-        maxBins=MAX_BINS, seed=SEED, maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True,
-    )]
+def _boosting(settings: dict) -> trees.Spec:
+    return trees.Spec("first", settings["trees"], settings["depth"], rate=settings["rate"], rows=settings["rows"], seed=SEED)
 
 
-def _boosting(settings: dict, n_rows: int) -> list:
-    return [GBTClassifier(
-        labelCol=LABEL, maxIter=settings["trees"], maxDepth=settings["depth"], stepSize=settings["rate"],
-        subsamplingRate=settings["rows"], featureSubsetStrategy=str(settings.get("columns", "all")), maxBins=MAX_BINS, seed=SEED,
-        maxMemoryInMB=TREE_MEMORY_MB, cacheNodeIds=True,
-    )]
+def _column_sampled(settings: dict) -> trees.Spec:
+    return trees.Spec(
+        "second", settings["trees"], settings["depth"], rate=settings["rate"], rows=settings["rows"], columns=settings["columns"],
+        ridge=1.0, min_weight=1.0, seed=SEED + 1,
+    )
 
 
-BUILDERS: dict[str, Callable[[dict, int], list]] = {
-    "Logistic Regression": _logistic,
+# in order of training; the logistic regression has no trees
+BUILDERS: dict[str, Callable[[dict], trees.Spec] | None] = {
+    LOGISTIC: None,
     "Random Forest": _forest,
     "Gradient Boosting": _boosting,
-    "Column-Sampled Boosting": _boosting,
+    "Column-Sampled Boosting": _column_sampled,
 }
 
 
@@ -82,26 +64,43 @@ def in_parallel(jobs: Sequence[Callable], width: int = 4) -> list:
         return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
-def ordered_rows(rows: DataFrame) -> DataFrame:
-    """Rows by hash of the lead and sorted, so that seeded sampling meets them in the same order.
+def training_rows(features: DataFrame) -> DataFrame:
+    """Only what the models read, staged once."""
+    return stage(features.select("lead_id", LABEL, *FEATURES), "training-rows")
 
-    The partition count is left to adaptive execution: one for a small table, since every partition of
-    a tree fit ships its own set of node statistics, and as many as there are cores for a large one.
-    """
-    return rows.repartition("lead_id").sortWithinPartitions("lead_id")
 
+def _settings(name: str, settings: dict[str, dict] | None) -> dict:
+    return {**MODEL_SETTINGS[name], **((settings or {}).get(name) or {})}
 
-def training_rows(features: DataFrame) -> DataFrame:
-    """Only what the models read, staged once, rows in a fixed order within fixed partitions."""
-    return stage(ordered_rows(features.select("lead_id", LABEL, *FEATURES)), "training-rows")
 
+def fit_many(names: Sequence[str], train: DataFrame, settings: dict[str, dict] | None = None) -> list[Candidate]:
+    """Fit candidates on rows holding the features and the label; those of trees share every pass over the rows."""
+    spark = train.sparkSession
+    prepared = Pipeline(stages=feature_stages()).fit(train)
+    vectors = prepared.transform(train)
+    grown = [n for n in names if n != LOGISTIC]
+    fitted: dict[str, list] = {}
+
+    def linear() -> None:
+        s = _settings(LOGISTIC, settings)
+        rows = logistic.read_rows(vectors, LABEL)
+        fitted[LOGISTIC] = logistic.as_stages(spark, logistic.fit_logistic(rows, len(FEATURES), c=s["c"], steps=s["max_iter"])[0], LABEL)
+        unstage(rows)
 
-def fit(name: str, train: DataFrame, settings: dict | None = None, n_rows: int | None = None) -> Candidate:
-    """Fit one candidate on rows holding the features, the label and (where used) weights."""
-    settings = {**MODEL_SETTINGS[name], **(settings or {})}
-    n_rows = train.count() if n_rows is None else n_rows
-    weighted = with_weights(train, LABEL)
-    return Candidate(name, Pipeline(stages=[*feature_stages(), *BUILDERS[name](settings, n_rows)]).fit(weighted))
+    def forests() -> None:
+        specs = [BUILDERS[n](_settings(n, settings)) for n in grown]
+        data = trees.bin_rows(vectors, len(FEATURES), LABEL)
+        for name, spec, found in zip(grown, specs, trees.fit_trees(data, specs)):
+            fitted[name] = [trees.as_model(spark, data, spec, found, LABEL)]
+        unstage(data.rows)
+
+    in_parallel([*([linear] if LOGISTIC in names else []), *([forests] if grown else [])])
+    return [Candidate(n, PipelineModel([*prepared.stages, *fitted[n]])) for n in names]
+
+
+def fit(name: str, train: DataFrame, settings: dict | None = None) -> Candidate:
+    """Fit one candidate."""
+    return fit_many([name], train, {name: settings or {}})[0]
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -143,34 +142,32 @@ class Training:
 def split_rows(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All training rows, and their 80 % and 20 % parts."""
     rows = training_rows(features)
-    split = stage(ordered_rows(stratified_split(rows, LABEL)), "split")
+    split = stage(stratified_split(rows, LABEL), "split")
     return rows, split.where("NOT is_test").drop("is_test"), split.where("is_test").drop("is_test")
 
 
 def train_models(features: DataFrame, settings: dict[str, dict] | None = None, names: Sequence[str] | None = None) -> Training:
     """Fit the candidates side by side and pick the one with the best F1 on the held-out rows."""
-    settings = settings or {}
-    names = list(names or BUILDERS)
     rows, train, test = split_rows(features)
-    n_rows = train.count()
-    candidates = in_parallel([lambda n=n: fit(n, train, settings.get(n), n_rows) for n in names])
+    candidates = fit_many(list(names or BUILDERS), train, settings)
     leaderboard = stage(evaluate(candidates, test), "leaderboard")
     best = select_best(leaderboard).first()["model"]
     return Training(rows, train, test, candidates, leaderboard, next(c for c in candidates if c.name == best))
 
 
 def cv_f1(name: str, rows: DataFrame, settings: dict | None = None) -> DataFrame:
-    """F1 of class 1 on each of the stratified folds, a fresh fit per fold."""
-    folded = stage(ordered_rows(stratified_folds(rows, LABEL)), "folds")
-    sizes = {r["fold"]: r["n"] for r in folded.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    whole = sum(sizes.values())
-
-    def one(fold: int) -> DataFrame:
-        fitted = fit(name, folded.where(F.col("fold") != fold).drop("fold"), settings, whole - sizes[fold])
-        return score(fitted.model, folded.where(F.col("fold") == fold)).select("fold", LABEL, "prediction")
-
-    scored = _scored_union(in_parallel([lambda f=f: one(f) for f in sorted(sizes)], len(sizes)))
-    return classification_metrics(scored, ["fold"], digits=16).select("fold", "f1")
+    """F1 of class 1 on each of the stratified folds; the fits of all folds share every pass over the rows."""
+    folded = stage(stratified_folds(rows, LABEL), "folds")
+    vectors = Pipeline(stages=feature_stages()).fit(folded).transform(folded)
+    s = _settings(name, {name: settings})
+    if name == LOGISTIC:
+        read = logistic.read_rows(vectors, LABEL, "fold")
+        scored = logistic.predict_held(read, logistic.fit_logistic(read, len(FEATURES), range(FOLDS), s["c"], s["max_iter"]))
+    else:
+        data = trees.bin_rows(vectors, len(FEATURES), LABEL, part="fold")
+        specs = [replace(BUILDERS[name](s), held=fold) for fold in range(FOLDS)]
+        scored = trees.predict_held(data, specs, trees.fit_trees(data, specs))
+    return classification_metrics(scored, ["fold"], digits=16).select("fold", "f1").where(F.col("fold").isNotNull())
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:

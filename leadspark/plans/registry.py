@@ -107,8 +107,9 @@ def _train(t: LeadTables, names: list[str] | None = None) -> models.Training:
     names = list(names or models.BUILDERS)
     rows, train, test = _once(t, "split", lambda: models.split_rows(model_table(t)))
     missing = [n for n in names if (t.leads.sparkSession.sparkContext.applicationId, t.origin, n) not in _FITTED]
-    models.in_parallel([lambda n=n: _once(t, n, lambda: models.fit(n, train)) for n in missing])
-    candidates = [_once(t, n, lambda n=n: models.fit(n, train)) for n in names]
+    for candidate in models.fit_many(missing, train) if missing else []:
+        _once(t, candidate.name, lambda c=candidate: c)
+    candidates = [_once(t, n, lambda: None) for n in names]
     leaderboard = _once(t, "leaderboard " + ", ".join(names), lambda: stage(models.evaluate(candidates, test), "leaderboard"))
     best = metrics.select_best(leaderboard).first()["model"]
     return models.Training(rows, train, test, candidates, leaderboard, next(c for c in candidates if c.name == best))

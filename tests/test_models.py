@@ -9,12 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadspark.constants import FEATURES
-from leadspark.operators import explain, metrics, models, scoring
+from leadspark.operators import encode, explain, logistic, metrics, models, scoring, trees
 from leadspark.session import fresh_path
 from leadspark.sources import csv, sinks
 from leadspark.streaming import scoring as streaming
 
-QUICK = {"Random Forest": {"trees": 8, "depth": 4}, "Gradient Boosting": {"trees": 4, "depth": 3}, "Column-Sampled Boosting": {"trees": 3, "depth": 3}}
+QUICK = {"Random Forest": {"trees": 30, "depth": 5}, "Gradient Boosting": {"trees": 40, "depth": 3, "rate": 0.2}, "Column-Sampled Boosting": {"trees": 40, "depth": 3, "rate": 0.2}}
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +82,128 @@ def test_fits_are_good_and_repeatable(separable, trained):
     assert got == pytest.approx(want)
 
 
+def vectors_of(rows):
+    from pyspark.ml import Pipeline
+
+    return Pipeline(stages=encode.feature_stages()).fit(rows).transform(rows)
+
+
+SPECS = [
+    trees.Spec("forest", 5, 5, per_node=3, min_leaf=2), trees.Spec("first", 7, 3, rate=0.3, rows=0.8),
+    trees.Spec("second", 13, 4, rate=0.3, rows=0.8, columns=0.8, ridge=1.0, min_weight=1.0), trees.Spec("second", 4, 3, rate=0.3, ridge=1.0, held=2),
+]
+
+
+def test_trees_do_not_depend_on_partitions(separable):
+    """A job per level over many partitions grows the trees that single tasks grow, to the last digit."""
+    folded = encode.stratified_folds(separable)
+    for rows in (1 << 18, 100):
+        data = trees.bin_rows(vectors_of(folded.repartition(3)), len(FEATURES), part="fold", rows=rows)
+        assert data.partitions == (1 if rows > 1000 else 3)
+        found = [[getattr(t, name).tolist() for name in trees.Tree.ARRAYS] for fit in trees.fit_trees(data, SPECS) for t in fit]
+        if rows > 1000:
+            first = found
+    assert found == first
+
+
+def brute_tree(spec, bins, g, h):
+    """(gain, feature, cut) of the root by trying every cut."""
+    n = np.ones(len(g))
+    score = lambda at: g[at].sum() ** 2 / (n[at].sum() if spec.kind == "first" else h[at].sum() + spec.ridge)
+    best = (0, -1, 0)
+    for f in range(bins.shape[1]):
+        for cut in range(int(bins[:, f].max())):
+            left = bins[:, f] <= cut
+            if 0 < left.sum() < len(g):
+                gain = score(left) + score(~left) - score(np.ones(len(g), bool))
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, cut)
+    return best
+
+
+@pytest.mark.parametrize("kind", ["first", "second"])
+def test_cuts_and_leaves_are_the_best(kind):
+    rng = np.random.default_rng(4)
+    bins = rng.integers(0, 20, (300, 4)).astype(np.uint8)
+    y = (bins[:, 2] + rng.integers(0, 8, 300) > 14).astype(float)
+    spec = trees.Spec(kind, 1, 1, rate=0.1, ridge=1.0 if kind == "second" else 0.0)
+    odds = float(np.log(y.mean() / (1 - y.mean())))
+    tree = trees.grow(spec, [0], bins, 20, np.arange(300), y, np.ones(300), odds)[0]
+    p = np.full(300, y.mean())
+    g, h = y - p, p * (1 - p)
+    gain, feature, cut = brute_tree(spec, bins, g, h)
+    left = bins[:, feature] <= cut
+    assert (tree.feature[0], tree.cut[0]) == (feature, cut) and gain > 1
+    for node, at in ((1, left), (2, ~left)):
+        assert tree.value[node] == pytest.approx(0.1 * g[at].sum() / (h[at].sum() + spec.ridge), abs=1e-5)
+
+
+def test_columns_are_drawn_per_tree_or_per_node():
+    per_tree = [trees.candidates(SPECS[2], t, level, 11) for t in range(20) for level in range(4)]
+    assert all((c == c[0]).all() and c.shape[1] == 8 for c in per_tree)
+    assert len({tuple(trees.candidates(SPECS[2], t, 0, 11)[0]) for t in range(20)}) > 10
+    per_node = trees.candidates(SPECS[0], 0, 4, 11)
+    assert per_node.shape == (16, 3) and len({tuple(c) for c in per_node}) > 5
+    u = trees.uniform(np.arange(100000), 42, 7)
+    assert abs(u.mean() - 0.5) < 0.01 and abs((u < 0.8).mean() - 0.8) < 0.01
+    times = trees.gradients(SPECS[0], 0, np.arange(100000), np.ones(100000), np.ones(100000), np.zeros(100000))[1]
+    assert abs(times.mean() - 1) < 0.02 and abs((times == 0).mean() - np.exp(-1)) < 0.01
+
+
+def test_saved_form_scores_as_the_trees_say(spark, separable):
+    vectors = vectors_of(separable).cache()
+    data = trees.bin_rows(vectors, len(FEATURES))
+    pdf = vectors.select("lead_id", "features").toPandas().sort_values("lead_id")
+    x = np.stack([v.toArray() for v in pdf["features"]])
+    bins = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(data.cuts)], axis=1).astype(np.uint8)
+    for spec, grown in zip(SPECS[:3], trees.fit_trees(data, SPECS[:3])):
+        model = trees.as_model(spark, data, spec, grown)
+        got = [float(r["p"][1]) for r in model.transform(vectors).selectExpr("lead_id", "probability AS p").orderBy("lead_id").collect()]
+        total = sum(t.value[t.descend(bins, spec.depth)] for t in grown)
+        want = total / len(grown) if spec.kind == "forest" else 1 / (1 + np.exp(-(data.start(spec)[0] + total)))
+        assert np.allclose(got, want, atol=1e-9)
+        assert model.featureImportances.toArray().sum() == pytest.approx(1)
+
+
+def test_one_class_and_no_rows(spark, separable):
+    for rows in (separable.withColumn("converted", F.lit(0)), separable.where("converted = 1"), separable.limit(0)):
+        data = trees.bin_rows(vectors_of(separable).select("lead_id", "features", "converted").join(rows.select("lead_id", F.col("converted").alias("c")), "lead_id").withColumn("converted", F.col("c")), len(FEATURES))
+        for fit in trees.fit_trees(data, SPECS[:3]):
+            assert all((t.feature == -1).all() for t in fit)
+
+
+def test_newton_reaches_the_optimum_and_the_library_fit(spark, separable):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+
+    rows = encode.with_weights(separable)
+    vectors = vectors_of(rows)
+    read = logistic.read_rows(vectors)
+    fits = logistic.fit_logistic(read, len(FEATURES))
+    assert np.abs(logistic.gradient(read, fits)[0]).max() < 1e-6
+    n = rows.count()
+    scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
+    # the library scales by the sample deviation and takes the mean loss
+    library = LogisticRegression(featuresCol="scaled", labelCol="converted", weightCol="weight", regParam=(n - 1) / n / n, standardization=False, maxIter=1000, tol=1e-12).fit(scaled)
+    want = library.coefficients.toArray() * np.sqrt((n - 1) / n)
+    assert np.allclose(fits[0].beta[:-1], want, atol=1e-4) and fits[0].beta[-1] == pytest.approx(library.intercept, abs=1e-4)
+
+
+def test_folds_of_newton_equal_fits_without_the_fold(separable):
+    folded = encode.stratified_folds(separable)
+    read = logistic.read_rows(vectors_of(folded), part="fold")
+    fits = logistic.fit_logistic(read, len(FEATURES), helds=range(5))
+    for held in (0, 3):
+        alone = logistic.fit_logistic(logistic.read_rows(vectors_of(folded).where(F.col("fold") != held)), len(FEATURES))[0]
+        assert np.allclose(fits[held].beta, alone.beta, atol=1e-8)
+
+
+@pytest.mark.parametrize("name", ["Logistic Regression", "Gradient Boosting", "Column-Sampled Boosting"])
+def test_cross_validation_of_all_kinds(trained, name):
+    f1 = [r["f1"] for r in models.cv_f1(name, trained.rows, {"trees": 20, "rate": 0.3}).collect()]
+    assert len(f1) == 5 and all(0.5 < x <= 1 for x in f1)
+
+
 def test_cross_validation(trained):
     folds = models.cv_f1("Random Forest", trained.rows, QUICK["Random Forest"])
     f1 = [r["f1"] for r in folds.collect()]

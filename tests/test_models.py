@@ -296,6 +296,44 @@ def test_multilinear_shapley_equals_the_definition():
         assert np.allclose(phi, want)
 
 
+def random_leaves(rng, n_features, depth):
+    """The leaves of a random tree, some features met twice, some not at all."""
+    lows, highs, shares, values = [], [], [], []
+
+    def walk(low, high, share, left):
+        if not left or rng.random() < 0.15:
+            lows.append(low), highs.append(high), shares.append(share), values.append(rng.normal())
+            return
+        f, cut, z = rng.integers(n_features), rng.normal(), rng.uniform(0.05, 0.95)
+        a, b = high.copy(), low.copy()
+        a[f], b[f] = min(a[f], cut), max(b[f], cut)
+        one, two = share.copy(), share.copy()
+        one[f], two[f] = one[f] * z, two[f] * (1 - z)
+        walk(low, a, one, left - 1), walk(b, high, two, left - 1)
+
+    walk(np.full(n_features, -np.inf), np.full(n_features, np.inf), np.ones(n_features), depth)
+    return np.array(lows), np.array(highs), np.array(shares), np.array(values)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pattern_tables_equal_the_definition(seed):
+    rng = np.random.default_rng(seed)
+    n = 5
+    leaves = low, high, share, value = random_leaves(rng, n, seed)
+    x = rng.normal(size=(7, n))
+    want = np.zeros_like(x)
+    for row in range(len(x)):
+        inside = (x[row] > low) & (x[row] <= high)
+        game = lambda known: (np.where(np.isin(np.arange(n), known), inside, share).prod(axis=1) * value).sum()
+        for f in range(n):
+            others = [k for k in range(n) if k != f]
+            for size in range(n):
+                for known in itertools.combinations(others, size):
+                    weight = math.factorial(size) * math.factorial(n - size - 1) / math.factorial(n)
+                    want[row, f] += weight * (game([*known, f]) - game(list(known)))
+    assert np.allclose(explain.shapley(x, leaves, cells=64), want, atol=1e-9)
+
+
 @pytest.mark.parametrize("which", [1, 2])
 def test_tree_contributions_add_up(trained, which):
     model = trained.candidates[which].model

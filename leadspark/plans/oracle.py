@@ -111,6 +111,17 @@ def _x(f: str) -> str:
     return "source_number" if f == "source" else f
 
 
+_MODELS = ["Logistic Regression", "Random Forest", "Gradient Boosting", "Column-Sampled Boosting"]
+
+
+def _board(which) -> str:
+    """The rows that a leaderboard of these models must have; a fifth of each class, rounded, is tested."""
+    rows = ", ".join(f"({i}, '{_MODELS[k]}')" for i, k in enumerate(which))
+    tested = ", ".join(f"CAST(round(0.2 * (SELECT count_if(converted = {y}) FROM model)) AS BIGINT) AS n_{y}" for y in (0, 1))
+    flags = "true AS in_range, true AS f1_follows, true AS accuracy_follows, true AS beats_chance"
+    return f"SELECT position, model, {tested}, {flags} FROM (VALUES {rows}) AS v(position, model)"
+
+
 _CTE["moments"] = "SELECT " + ", ".join(f"avg({_x(f)}) AS m_{f}, stddev_pop({_x(f)}) AS s_{f}" for f in FEATURES) + " FROM numbered"
 _CTE["contributed"] = "SELECT n.*, " + ", ".join(
     f"{EXAMPLE_WEIGHTS[f]} * ({_x(f)} - m_{f}) / CASE s_{f} WHEN 0 THEN 1 ELSE s_{f} END AS c_{f}" for f in FEATURES
@@ -362,16 +373,23 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     "model_matrix": "SELECT lead_id, CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS x_source, "
         + ", ".join(f"round(CAST({f} AS DOUBLE), 6) AS x_{f}" for f in FEATURES if f != "source") + " FROM model",
     "model_roundtrip": "SELECT lead_id, true AS same FROM model",
-    "batch_score": "SELECT lead_id, true AS in_range, true AS bands_agree FROM model",
-    "score_stream": "SELECT lead_id, true AS in_range, true AS bands_agree FROM model WHERE lead_id % 10 NOT IN (3, 4, 5, 6, 7)",
-    "feature_importance": "SELECT feature, true AS is_share, true AS adds_up FROM (VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") AS v(feature)",
+    "batch_score": "SELECT lead_id, true AS in_range, true AS bands_agree, true AS separates FROM model",
+    "score_stream": "SELECT lead_id, true AS in_range, true AS bands_agree, true AS same_as_batch FROM model WHERE lead_id % 10 NOT IN (3, 4, 5, 6, 7)",
+    "feature_importance": "SELECT feature, true AS is_share, true AS adds_up, true AS in_order FROM (VALUES " + ", ".join(f"('{f}')" for f in FEATURES) + ") AS v(feature)",
     "explain_tree": "SELECT lead_id, 'probability' AS space, true AS adds_up FROM model",
-    "cv_f1": "SELECT CAST(range AS INT) AS fold, true AS in_range FROM range(5)",
-    "train_lr": "SELECT 'Logistic Regression' AS model, true AS in_range, true AS f1_follows",
-    "train_rf": "SELECT 'Random Forest' AS model, true AS in_range, true AS f1_follows",
-    "train_gbt": "SELECT 'Gradient Boosting' AS model, true AS in_range, true AS f1_follows",
-    "train_gbt_colsample": "SELECT 'Column-Sampled Boosting' AS model, true AS in_range, true AS f1_follows",
-    "model_leaderboard": "SELECT model, true AS in_range, true AS f1_follows FROM (VALUES ('Logistic Regression'), ('Random Forest'), ('Gradient Boosting'), ('Column-Sampled Boosting')) AS v(model)",
+    "cv_f1": """SELECT CAST(range AS INT) AS fold, CAST((SELECT count_if(converted = 0) - range + 4 FROM model) // 5 AS BIGINT) AS n_0,
+        CAST((SELECT count_if(converted = 1) - range + 4 FROM model) // 5 AS BIGINT) AS n_1, true AS in_range FROM range(5)""",
+    **{name: _board([k]) for name, k in {"train_lr": 0, "train_rf": 1, "train_gbt": 2, "train_gbt_colsample": 3}.items()},
+    "model_leaderboard": _board(range(4)),
+    "metrics_document": "SELECT position, model, true AS as_measured, true AS cv_in_range FROM (VALUES "
+        + ", ".join(f"({k}, '{m}')" for k, m in enumerate(_MODELS)) + ") AS v(position, model)",
+    "model_card": f"""SELECT 'Random Forest' AS model, 'RandomForestClassificationModel' AS model_type, {len(FEATURES)} AS feature_count, '{", ".join(FEATURES)}' AS features,
+        string_agg(source, ', ' ORDER BY source) AS supported_sources FROM (SELECT DISTINCT source FROM model)""",
+    "logistic_gradient": "SELECT coefficient, 0.0::DOUBLE AS gradient, true AS bounded, CAST(count_if(converted = 0) AS BIGINT) AS n_0, CAST(count_if(converted = 1) AS BIGINT) AS n_1 FROM model, (VALUES "
+        + ", ".join(f"('{f}')" for f in [*FEATURES, "intercept"]) + ") AS v(coefficient) GROUP BY 1",
+    **{f"explain_{m}_factors": "SELECT lead_id, CAST(k AS INT) AS factor_rank, true AS own_value, true AS direction_follows, true AS ranked FROM model, range(1, 6) AS r(k)" for m in ("forest", "logistic")},
+    **{f"explain_{m}_summary": """SELECT lead_id, CASE max_funnel_order WHEN 1 THEN 'Awareness' WHEN 2 THEN 'Consideration' WHEN 3 THEN 'Evaluation' WHEN 4 THEN 'Decision' ELSE 'Unknown' END AS funnel_stage,
+        true AS percent_agrees, true AS strength_agrees FROM model""" for m in ("forest", "logistic")},
     "select_best": "SELECT model, f1 FROM (" + " UNION ALL ".join(
         f"SELECT {i} AS position, '{name}' AS model, {_f1} AS f1 FROM ({_cells(f'probability_1 > {cut}')})" for i, (name, cut) in enumerate([("cut 0.3 a", 0.3), ("cut 0.3 b", 0.3), ("cut 0.6", 0.6)])
     ) + ") ORDER BY f1 DESC, position LIMIT 1",

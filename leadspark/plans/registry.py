@@ -4,22 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadspark.constants import EXPLORE_CATEGORICALS, FEATURES, MEDIAN_COLUMNS, TRAIN_CATEGORICALS
-from leadspark.functions.scalars import flag_to_int, funnel_order, parse_ts, present
+from leadspark.constants import EXPLORE_CATEGORICALS, FEATURES, MEDIAN_COLUMNS, MODERATE_FROM, STRONG_FROM, TRAIN_CATEGORICALS
+from leadspark.functions.scalars import flag_to_int, funnel_order, number_text, parse_ts, present
 from leadspark.functions.stats import box_stats
-from leadspark.operators import cleaning, encode, explain, explore, features, labels, metrics, models, quality, scoring
+from leadspark.operators import cleaning, encode, explain, explore, features, labels, logistic, metrics, models, quality, scoring
 from leadspark.session import fresh_path, stage
 from leadspark.sources import csv, sinks
 from leadspark.sources.rolemap import ORDER_EVENTS_SQL, LeadTables, read_tables
 from leadspark.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
+MEASURES = ["accuracy", "precision", "recall", "f1", "auc_roc"]
 
 # What was fitted in this session: (application, data, what) to the fit. Queries over the same data share fits.
 _FITTED: dict[tuple[str, str, str], object] = {}
@@ -122,7 +124,7 @@ def _folds(t: LeadTables) -> DataFrame:
 
 
 def _one_model(name: str) -> Query:
-    return _on(lambda t: checked_board(_train(t, [name]).leaderboard))
+    return _on(lambda t: checked_board(_train(t, [name])))
 
 
 # --- queries with more than one step ------------------------------------------------------------
@@ -166,15 +168,23 @@ def model_matrix(t: LeadTables) -> DataFrame:
 
 
 def metrics_document(t: LeadTables) -> DataFrame:
-    """The metrics document, written and read back."""
+    """The metrics document, written and read back: a row per model in its order, with what must hold of its numbers."""
     spark = t.leads.sparkSession
     trained = _train(t)
     cv = models.cv_summary(_folds(t))
     path = fresh_path(spark, "metrics")
     sinks.save_metrics(sinks.metrics_document(trained.leaderboard, cv), path)
-    return spark.read.schema(
+    document = spark.read.schema(
         "models array<struct<model:string,accuracy:double,precision:double,recall:double,f1:double,auc_roc:double>>, cv_f1_mean double, cv_f1_std double"
     ).json(path)
+    rows = document.select(F.posexplode("models").alias("position", "m"), "cv_f1_mean", "cv_f1_std").select("position", "m.*", "cv_f1_mean", "cv_f1_std")
+    same = rows.join(trained.leaderboard.select("position", *[F.col(c).alias(f"own_{c}") for c in MEASURES]), "position")
+    kept = F.lit(True)
+    for c in MEASURES:
+        kept = kept & F.col(c).eqNullSafe(F.col(f"own_{c}"))
+    # the mean of five shares deviates by half at most
+    spread = F.col("cv_f1_mean").between(0, 1) & F.col("cv_f1_std").between(0, 0.5)
+    return same.select("position", "model", kept.alias("as_measured"), spread.alias("cv_in_range"))
 
 
 def _saved_forest(t: LeadTables) -> tuple[models.Training, models.Candidate, dict]:
@@ -209,42 +219,67 @@ def banded(scored: DataFrame) -> DataFrame:
 
 
 def batch_score(t: LeadTables) -> DataFrame:
+    """Every lead's bands, and whether converted leads score higher in the mean, which no constant score does."""
     trained = _train(t, ["Random Forest"])
-    return banded(scoring.batch_score(trained.best.model, trained.rows))
+    scored = stage(scoring.batch_score(trained.best.model, trained.rows, ("lead_id", "converted")), "scores")
+    mean = {y: F.avg(F.when(F.col("converted") == y, F.col("conversion_probability"))) for y in (0, 1)}
+    apart = scored.agg((mean[1] > mean[0]).alias("separates")).scalar()
+    return banded(scored).withColumn("separates", apart)
 
 
 def forest_importance(t: LeadTables) -> DataFrame:
-    """Per feature whether its importance is a share, and whether all add up to one."""
-    found = models.feature_importance(t.leads.sparkSession, _train(t, ["Random Forest"]).best.model)
-    total = F.sum("importance").over(W.partitionBy())  # one row per feature
-    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(total - 1) < 1e-6).alias("adds_up"))
+    """Per feature whether its importance is a share, whether all add up to one, and whether none above is smaller."""
+    model = _train(t, ["Random Forest"]).best.model
+    found = models.feature_importance(t.leads.sparkSession, model).withColumn("at", F.monotonically_increasing_id())
+    whole, order = W.partitionBy(), W.partitionBy().orderBy("at")  # one row per feature
+    return found.select(
+        "feature", F.col("importance").between(0, 1).alias("is_share"), (F.abs(F.sum("importance").over(whole) - 1) < 1e-6).alias("adds_up"),
+        F.coalesce(F.col("importance") <= F.lag("importance").over(order), F.lit(True)).alias("in_order"),
+    )
 
 
 def fold_scores(t: LeadTables) -> DataFrame:
-    """Per fold whether the winner's F1 is a share."""
-    return _folds(t).select("fold", F.col("f1").between(0, 1).alias("in_range"))
+    """Per fold how many leads of each class it holds, and whether the winner's F1 there is a share."""
+    dealt = encode.stratified_folds(_train(t).rows).groupBy("fold").agg(F.count_if(F.col("converted") == 0).alias("n_0"), F.count_if(F.col("converted") == 1).alias("n_1"))
+    return _folds(t).join(dealt, "fold").select("fold", "n_0", "n_1", F.col("f1").between(0, 1).alias("in_range"))
 
 
-def checked_board(board: DataFrame) -> DataFrame:
-    """Per model whether every measure is a share and F1 follows from precision and recall."""
+def checked_board(trained: models.Training) -> DataFrame:
+    """Per model its place, the test rows of each class, whether every measure is a share, F1 follows from precision and
+    recall, accuracy from them and the counts, and the ranking beats chance, as no constant score does, given ten converted."""
+    board = trained.leaderboard
+    counts = trained.test.agg(F.struct(F.count_if(F.col("converted") == 0).alias("n_0"), F.count_if(F.col("converted") == 1).alias("n_1"))).scalar()
     share = F.lit(True)
-    for c in ("accuracy", "precision", "recall", "f1", "auc_roc"):
+    for c in MEASURES:
         share = share & F.coalesce(F.col(c).between(0, 1), F.lit(c == "auc_roc"))
     both = F.col("precision") + F.col("recall")
     mean = F.when(both == 0, 0.0).otherwise(2 * F.col("precision") * F.col("recall") / both)
-    return board.select("model", share.alias("in_range"), (F.abs(F.col("f1") - mean) < 2e-4).alias("f1_follows"))
+    # recall gives the true positives, and the wrong rows are those missed and those wrongly called
+    hits = F.round(F.col("recall") * F.col("n_1"))
+    false_calls = F.when(F.col("precision") > 0, hits / F.col("precision") - hits)
+    right = 1 - (F.col("n_1") - hits + false_calls) / (F.col("n_0") + F.col("n_1"))
+    return board.withColumn("_n", counts).select("*", "_n.*").select(
+        "position", "model", "n_0", "n_1", share.alias("in_range"), (F.abs(F.col("f1") - mean) < 2e-4).alias("f1_follows"),
+        F.coalesce(F.abs(F.col("accuracy") - right) < 2e-3, F.lit(True)).alias("accuracy_follows"),
+        ((F.col("n_1") < 10) | (F.col("auc_roc") > 0.5)).alias("beats_chance"),
+    )
 
 
 def score_stream(t: LeadTables) -> DataFrame:
-    """Requests, bad ones among them, scored as a file stream; what the table of the valid ones holds."""
+    """Requests, bad ones among them, scored as a file stream; what the table of the valid ones holds, and whether a
+    batch over the same requests gives every lead the same."""
     spark = t.leads.sparkSession
     trained = _train(t, ["Random Forest"])
     inbox, out, bad, log = (fresh_path(spark, name) for name in ("stream-in", "stream-out", "stream-rejected", "stream-log"))
     example_requests(t).select("lead_id", *FEATURES).write.parquet(inbox)
-    rows = streaming.read_feature_stream(spark, inbox, spark.read.parquet(inbox).schema)
-    for query in streaming.score_stream(trained.best.model, rows, out, bad, log):
+    requests = spark.read.parquet(inbox)
+    for query in streaming.score_stream(trained.best.model, streaming.read_feature_stream(spark, inbox, requests.schema), out, bad, log):
         query.awaitTermination()
-    return banded(spark.read.parquet(out))
+    batch = scoring.batch_score(trained.best.model, scoring.accepted_requests(requests, models.source_values(trained.best.model)))
+    batch = batch.select("lead_id", F.struct(*scoring.BANDS).alias("batch"))
+    arrived = spark.read.parquet(out)
+    same = arrived.join(batch, "lead_id").select("lead_id", (F.struct(*scoring.BANDS) == F.col("batch")).alias("same_as_batch"))
+    return banded(arrived).join(same, "lead_id")
 
 
 def explain_tree(t: LeadTables) -> DataFrame:
@@ -255,6 +290,59 @@ def explain_tree(t: LeadTables) -> DataFrame:
     return found.select("lead_id", "space", (F.abs(total - F.col("probability_1")) < 1e-6).alias("adds_up"))
 
 
+def _fitted_explanations(t: LeadTables, name: str) -> DataFrame:
+    """Every lead with the probability, contributions, factors and summary of a fitted model."""
+    model = _train(t, [name]).best.model
+    rows = models.score(model, _train(t, [name]).rows)
+    found = explain.logistic_contributions(model, rows) if name == models.LOGISTIC else explain.tree_contributions(model, rows)
+    return _once(t, f"explained {name}", lambda: stage(explain.explained(found), "explained"))
+
+
+def fitted_factors(t: LeadTables, name: str) -> DataFrame:
+    """The ranked factors of a fitted model for every lead: whether each is a feature with the lead's own value, has the
+    direction of its sign and a contribution no larger than the one above."""
+    rows = _fitted_explanations(t, name)
+    factors = explain.factor_rows(rows)
+    own = rows.select("lead_id", F.explode(F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f).cast("string") if f == "source" else number_text(f))])).alias("feature", "own"))
+    above = F.lag(F.abs("contribution")).over(W.partitionBy("lead_id").orderBy("factor_rank"))
+    return factors.withColumn("above", above).join(own, ["lead_id", "feature"]).select(
+        "lead_id", "factor_rank", (F.col("value") == F.col("own")).alias("own_value"),
+        F.when(F.abs("contribution") < 1e-4, True).otherwise((F.col("contribution") > 0) == (F.col("direction") == "increases")).alias("direction_follows"),
+        F.coalesce(F.abs("contribution") <= F.col("above"), F.lit(True)).alias("ranked"),
+    )
+
+
+def fitted_summary(t: LeadTables, name: str) -> DataFrame:
+    """The sentence for every lead by a fitted model: the funnel stage as named, and whether score and strength agree."""
+    rows = _fitted_explanations(t, name)
+    p = F.col("probability_1")
+    strength = F.regexp_extract("summary", "^This lead has a (\\w+) conversion probability of (\\d+)%", 1)
+    percent = F.regexp_extract("summary", "^This lead has a (\\w+) conversion probability of (\\d+)%", 2).cast("int")
+    return rows.select(
+        "lead_id", F.regexp_extract("summary", "reached the (\\w+) stage", 1).alias("funnel_stage"), (F.abs(percent - 100 * p) <= 0.5 + 1e-9).alias("percent_agrees"),
+        (strength == F.when(p >= STRONG_FROM, "strong").when(p >= MODERATE_FROM, "moderate").otherwise("low")).alias("strength_agrees"),
+    )
+
+
+def logistic_gradient(t: LeadTables) -> DataFrame:
+    """Per coefficient of the logistic regression over all leads the gradient of its penalised loss, which is zero where
+    the loss is least, and the leads of each class, weighted alike."""
+    spark = t.leads.sparkSession
+    rows, _, _ = _once(t, "split", lambda: models.split_rows(model_table(t)))
+    vectors = Pipeline(stages=encode.feature_stages()).fit(rows).transform(rows)
+    read = logistic.read_rows(vectors)
+    fit = logistic.fit_logistic(read, len(FEATURES))[0]
+    slope = logistic.gradient(read, [fit])[0]
+    n = vectors.agg(F.count_if(F.col("converted") == 0), F.count_if(F.col("converted") == 1)).first()
+    out = [(name, round(float(g), 4) + 0.0, bool(abs(b) < 50), n[0], n[1]) for name, g, b in zip([*FEATURES, "intercept"], slope, fit.beta)]
+    return spark.createDataFrame(out, "coefficient string, gradient double, bounded boolean, n_0 long, n_1 long")
+
+
+def model_card(t: LeadTables) -> DataFrame:
+    card = models.model_card(t.leads.sparkSession, _saved_forest(t)[1])
+    return card.select("model", "model_type", "feature_count", F.array_join("features", ", ").alias("features"), F.array_join("supported_sources", ", ").alias("supported_sources"))
+
+
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "csv_ingest": _on(lambda t: csv_ingest(t, "leads")),
@@ -265,7 +353,7 @@ QUERIES: dict[str, Query] = {
     "preview_head_interactions": _on(lambda t: rounded(quality.preview(t.interactions, "interaction_id"))),
     "metrics_document": _on(metrics_document),
     "model_roundtrip": _on(model_roundtrip),
-    "model_card": _on(lambda t: models.model_card(t.leads.sparkSession, _saved_forest(t)[1])),
+    "model_card": _on(model_card),
     # quality
     "null_counts_leads": _on(lambda t: quality.null_counts(t.leads)),
     "null_counts_interactions_top10": _on(lambda t: quality.null_counts(t.interactions, top=10)),
@@ -356,6 +444,7 @@ QUERIES: dict[str, Query] = {
         lambda t: rounded(encode.standardise(model_table(t), [f for f in FEATURES if f != "source"]).drop("source", "converted"))
     ),
     "train_lr": _one_model("Logistic Regression"),
+    "logistic_gradient": _on(logistic_gradient),
     "train_rf": _one_model("Random Forest"),
     "train_gbt": _one_model("Gradient Boosting"),
     "train_gbt_colsample": _one_model("Column-Sampled Boosting"),
@@ -366,7 +455,7 @@ QUERIES: dict[str, Query] = {
     "roc_curve": _on(lambda t: metrics.roc_curve(example_scores(t))),
     "confusion_matrix": _on(lambda t: metrics.confusion_matrix(example_scores(t))),
     "select_best": _on(lambda t: select_best_rule(t)),
-    "model_leaderboard": _on(lambda t: checked_board(_train(t).leaderboard)),
+    "model_leaderboard": _on(lambda t: checked_board(_train(t))),
     "cv_f1": _on(fold_scores),
     "feature_importance": _on(forest_importance),
     # scoring and explanation
@@ -384,6 +473,10 @@ QUERIES: dict[str, Query] = {
         )
     ),
     "explain_tree": _on(explain_tree),
+    "explain_forest_factors": _on(lambda t: fitted_factors(t, "Random Forest")),
+    "explain_forest_summary": _on(lambda t: fitted_summary(t, "Random Forest")),
+    "explain_logistic_factors": _on(lambda t: fitted_factors(t, models.LOGISTIC)),
+    "explain_logistic_summary": _on(lambda t: fitted_summary(t, models.LOGISTIC)),
 }
 
 

@@ -9,8 +9,6 @@ import __spark_entry__ as contract
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SQL = contract.oracle_sql()
-# minutes of boosting with the full settings: only with TEST_SLOW=1
-SLOW = {"train_gbt", "train_gbt_colsample", "model_leaderboard", "cv_f1"}
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +22,4 @@ def test_every_sql_has_a_query():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, con, name):
-    if name in SLOW and not os.environ.get("TEST_SLOW"):
-        pytest.skip("slow")
     assert differences(contract.queries()[name](spark, SF_DIR), con, SQL[name]) == []

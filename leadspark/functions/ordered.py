@@ -1,13 +1,16 @@
 """Exact order statistics that never put an unbounded group into one task.
 
-Rows are first reduced to distinct values with counts, so a value that fills a third of all rows is one
-row here. Quantiles of the distinct values then cut the range into buckets of about equal numbers of them,
-whatever the data looks like, and running totals are taken twice: over the few buckets, and inside each bucket.
+Quantiles come from a sketch that brackets their ranks and an exact count of what lies below and inside. For running
+totals over all values, rows are first reduced to distinct values with counts, so a value that fills a third of all
+rows is one row here. Quantiles of the distinct values then cut the range into buckets of about equal numbers of them,
+whatever the data looks like, and totals are taken twice: over the few buckets, and inside each bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -18,6 +21,8 @@ from leadspark.session import stage
 
 # Values per bucket grow with the data; give more buckets for more executors.
 BUCKETS = 512
+# Brackets hold a few ranks in so many.
+ACCURACY = 10_000
 
 
 def bucketed(counts: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
@@ -61,30 +66,52 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), buckets: int = BUCKETS,
+    df: DataFrame, value: Column | str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = ACCURACY,
 ) -> DataFrame:
     """One row per group: ``quantiles``, an array in the order of ``probs``, linearly interpolated.
 
-    Nulls are left out. The counts are staged because they are read three times.
+    Two passes over the values, which are written once. A mergeable sketch with a rank error of at most 1 in
+    ``accuracy`` brackets every wanted rank; then each task counts what lies below a bracket and keeps the counts of
+    the values inside, a few in ten thousand, whose running totals hold the exact rank. A group of fewer values than
+    the sketch tells apart is its own bracket. Nulls are left out.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
-    counts = df.select(*by, value.cast("double").alias("_x")).where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
-    ranked = running_totals(stage(counts, "value-counts"), "_x", ["_n"], by, buckets=buckets)
-
-    def at(position: Column) -> Column:
+    rows = stage(df.select(*by, value.cast("double").alias("_x")).where("_x IS NOT NULL"), "values")
+    error = 1.0 / accuracy
+    marks = [min(1.0, max(0.0, p + s * 2 * error)) for p in probs for s in (-1, 1)]
+    sketch = F.percentile_approx("_x", F.array(*[F.lit(m) for m in marks]), accuracy)
+    seen = rows.groupBy(*by).agg(F.count("*").alias("_all"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), sketch.alias("_marks"))
+    few = F.col("_all") <= 4 * accuracy
+    ends = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.when(few, F.col("_min")).otherwise(F.col("_marks")[2 * i]).alias("lo"), F.when(few, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]).alias("hi"),
+        )
+        for i in range(len(probs))
+    ])
+    brackets = stage(seen.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_all", ends.alias("_ends")), "brackets")
+    if by:
+        same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by])
+        met = rows.join(brackets, same)
+    else:
+        met = rows.withColumn("_b", brackets.select(F.struct("_all", "_ends")).scalar()).select("_x", "_b.*")
+    # per wanted rank the value if it is in the bracket, null if below; those above do not count
+    near = F.transform(F.filter("_ends", lambda e: F.col("_x") <= e["hi"]), lambda e: F.struct(e["i"].alias("i"), F.when(F.col("_x") >= e["lo"], F.col("_x")).alias("x")))
+    counts = met.select(*by, "_all", F.explode(near).alias("_e")).groupBy(*by, "_all", F.col("_e.i").alias("_i"), F.col("_e.x").alias("_x")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(W.partitionBy(*by, "_i").orderBy(F.asc_nulls_first("_x")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto)
+
+    def at(i: int, position: Column) -> Column:
         """The value holding 0-based rank ``position``."""
-        return F.max(F.when((F.col("cum__n") > position) & (F.col("cum__n") - F.col("_n") <= position), F.col("_x")))
+        return F.max(F.when((F.col("_i") == i) & (F.col("_upto") > position) & (F.col("_upto") - F.col("_n") <= position), F.col("_x")))
 
     picked = []
     for i, p in enumerate(probs):
-        spot = F.lit(float(p)) * (F.col("all__n") - 1)
-        picked += [at(F.floor(spot)).alias(f"_lo{i}"), at(F.ceil(spot)).alias(f"_hi{i}"), F.max(spot - F.floor(spot)).alias(f"_w{i}")]
+        spot = F.lit(float(p)) * (F.col("_all") - 1)
+        picked += [at(i, F.floor(spot)).alias(f"_lo{i}"), at(i, F.ceil(spot)).alias(f"_hi{i}"), F.max(spot - F.floor(spot)).alias(f"_w{i}")]
     bounds = ranked.groupBy(*by).agg(*picked)
-    return bounds.select(
-        *by,
-        F.array(*[F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(probs))]).alias("quantiles"),
-    )
+    between = [F.col(f"_lo{i}") + F.col(f"_w{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(probs))]
+    return bounds.select(*by, F.array(*between).alias("quantiles"))
 
 
 def hash_ranks(df: DataFrame, key: str, stratum: str, seed: int, digits: int = 3) -> DataFrame:

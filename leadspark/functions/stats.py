@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.functions.ordered import exact_quantiles
+from leadspark.session import stage
+
+# The functions below travel to the executors by value, so those need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], mirrored: bool = False) -> DataFrame:
     """Pearson correlation of each pair of columns over the rows where both are known, in long form.
 
-    One aggregation without repeating rows: every pair has sums of its own, combined before the only shuffle. With
-    ``mirrored`` each pair of two columns is given both ways from the same sums. Null for a pair with a constant column.
+    One pass over the columns, written once: each task multiplies its zero-filled values and masks of what is known,
+    batch by batch, into a few square matrices, and Spark adds those up. Values are shifted by their minimum, so that
+    large ones lose no digits and a constant column has variance zero, for which the correlation is null. With
+    ``mirrored`` each pair of two columns is given both ways.
     """
-    def cell(a: str, b: str, correlation: Column) -> Column:
-        return F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), correlation.alias("correlation"))
-
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    k = len(names)
+    rows = stage(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "correlated")
+    low = rows.agg(*[F.min(c) for c in names]).first()
+    shift = np.array([0.0 if v is None else v for v in low])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, k, k))
+        for batch in batches:
+            x = np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - shift
+            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
+            x = np.where(known > 0, x, 0.0)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(4 * k * k)), pa.array(total.ravel())], names=["place", "value"])
+
+    summed = rows.mapInArrow(multiply, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    total = np.zeros(4 * k * k)
+    total[summed["place"].to_numpy()] = summed["value"].to_numpy()  # four numbers a pair
+    n, x1, x2, xy = total.reshape(4, k, k)
+    at = {c: i for i, c in enumerate(names)}
     cells = []
     for a, b in pairs:
-        known = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = (F.when(known, F.col(c).cast("double")) for c in (a, b))
-        correlation = F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 6) + 0.0
-        cells.append(cell(a, b, correlation))
+        i, j = at[a], at[b]
+        m = n[i, j]
+        left, right = (m * x2[i, j] - x1[i, j] ** 2, m * x2[j, i] - x1[j, i] ** 2)
+        found = None
+        if left > 0 and right > 0:
+            found = 1.0 if i == j else float((m * xy[i, j] - x1[i, j] * x1[j, i]) / np.sqrt(left) / np.sqrt(right))
+        cells.append((a, b, found))
         if mirrored and a != b:
-            cells.append(cell(b, a, correlation))
-    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+            cells.append((b, a, found))
+    out = df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, correlation double")
+    return out.withColumn("correlation", F.round("correlation", 6) + F.lit(0.0))
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:

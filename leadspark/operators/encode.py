@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadspark.constants import FEATURES, FOLDS, LABEL_DEFINING, SEED, TEST_SHARE, TRAIN_CATEGORICALS
 from leadspark.functions.ordered import hash_ranks
 from leadspark.functions.scalars import present
+from leadspark.session import stage
+
+# The functions below travel to the executors by value, so those need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def fit_encoders(df: DataFrame, columns: Sequence[str] = TRAIN_CATEGORICALS) -> StringIndexerModel:
@@ -22,12 +30,40 @@ def fit_encoders(df: DataFrame, columns: Sequence[str] = TRAIN_CATEGORICALS) ->
     ).fit(df)
 
 
+def label_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, label, code): the different texts of each column in order, from 0; null labels have no code.
+
+    Labels are sorted over partitions by range; a code is the number of the column's labels in the partitions before
+    plus the place inside, so no list of labels is ever in one place.
+    """
+    long = df.select(*columns).unpivot([], list(columns), "column", "label").where("label IS NOT NULL").distinct()
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, column, place = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            places = []
+            for name in batch.column(0).to_pylist():
+                column, place = name, place + 1 if name == column else 0
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(places)), pa.array(places)], names=["column", "label", "part", "place"])
+
+    ranged = long.repartitionByRange("column", "label").sortWithinPartitions("column", "label")
+    placed = stage(ranged.mapInArrow(number, "column string, label string, part long, place long"), "labels")
+    sizes = placed.groupBy("column", "part").agg(F.count("*").alias("n"))
+    before = W.partitionBy("column").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("column", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(starts, ["column", "part"]).select("column", "label", (F.col("start") + F.col("place")).cast("int").alias("code"))
+
+
 def label_encode(df: DataFrame, columns: Sequence[str] = TRAIN_CATEGORICALS) -> DataFrame:
-    """Replace each category by its code."""
-    model = fit_encoders(df, columns)
-    coded = model.transform(df)
-    codes = dict(zip(model.getInputCols(), model.getOutputCols()))
-    return coded.select(*[F.col(codes[c]).cast("int").alias(c) if c in codes else F.col(c) for c in df.columns])
+    """Replace each category by its code, a rank among the column's different texts; nulls stay."""
+    names = present(df, columns)
+    codes = stage(label_codes(df, names), "codes")
+    out = df
+    for c in names:
+        own = codes.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+        out = out.join(own, F.col(c) == F.col("_label"), "left").select(*[F.col("_code").alias(c) if x == c else F.col(x) for x in out.columns])
+    return out
 
 
 def feature_stages() -> list:

@@ -50,15 +50,15 @@ def skewed():
     return rows + [("a", None), ("b", None)]
 
 
-@pytest.mark.parametrize("buckets", [16, 512])
-def test_exact_quantiles(spark, skewed, buckets):
+@pytest.mark.parametrize("accuracy", [20, 60, 10_000])
+def test_exact_quantiles(spark, skewed, accuracy):
     df = spark.createDataFrame(skewed, "g string, x double").repartition(4)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["g"]: r["quantiles"] for r in ordered.exact_quantiles(df, "x", probs, ["g"], buckets=buckets).collect()}
+    got = {r["g"]: r["quantiles"] for r in ordered.exact_quantiles(df, "x", probs, ["g"], accuracy=accuracy).collect()}
     for g in "ab":
         want = np.quantile([x for k, x in skewed if k == g and x is not None], probs)
         assert np.allclose(got[g], want)
-    whole = ordered.exact_quantiles(df, "x", [0.5], buckets=buckets).first()["quantiles"][0]
+    whole = ordered.exact_quantiles(df, "x", [0.5], accuracy=accuracy).first()["quantiles"][0]
     assert whole == pytest.approx(median(x for _, x in skewed if x is not None))
 
 

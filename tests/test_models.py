@@ -398,6 +398,42 @@ def test_csv_files_with_headers_of_their_own_and_line_breaks(spark, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("split", ["500", "128m"])
+def test_quoted_line_breaks_over_splits(spark, tmp_path, split):
+    """One file, cut into many splits, some within cells and one whole split inside a cell, against the reader by file."""
+    import csv as plain
+
+    rng = np.random.default_rng(5)
+    cells = ["Google", "two\nlines", 'a "quoted" word', "", "n/a", "x" * 300, "\n\n", "line\n" * 60, "a,b", "é\nü"]
+    rows = [[str(k), rng.choice(cells), rng.choice(cells), str(k % 7)] for k in range(150)]
+    with open(tmp_path / "a.csv", "w", newline="") as f:
+        w = plain.writer(f, lineterminator="\n")
+        w.writerows([["lead_id", "source", "industry", "employee_count"], *rows])
+    with open(tmp_path / "b.csv", "w", newline="") as f:
+        plain.writer(f).writerows([["employee_count", "lead_id"], ["5", "b"]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = csv.read_csv(spark, str(tmp_path), csv.LEADS_SCHEMA)
+        got = [(r.lead_id, r.source, r.industry, r.employee_count) for r in df.orderBy("ingest_seq").collect()]
+        if split == "500":
+            assert csv.records(spark, [str(tmp_path / "a.csv")]).select("block").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    known = lambda x: None if x in ("", "n/a") else x
+    assert got == [(a, known(b), known(c), float(n)) for a, b, c, n in rows] + [("b", None, None, 5.0)]
+
+
+def test_headers_are_read_by_executors(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"{k:04}.csv").write_text("lead_id,source\n" + f"{k},Google\n" if k % 2 else "source,lead_id\n" + f"Direct,{k}\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = csv.headers(spark, str(tmp_path))
+    assert {h: len(f) for h, f in found.items()} == {"lead_id,source": 20, "source,lead_id": 20}
+    got = sorted((int(r.lead_id), r.source) for r in csv.read_csv(spark, str(tmp_path), csv.LEADS_SCHEMA).collect())
+    assert got == [(k, "Google" if k % 2 else "Direct") for k in range(40)]
+
+
 def test_numbers_that_are_not_finite_are_rejected(spark):
     names = ["lead_id", *FEATURES]
     good = ("Google", "7", "35", "2400.0", "3", "1", "4", "60", "25.0", "5.0", "4.0")

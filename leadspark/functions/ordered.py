@@ -114,13 +114,17 @@ def exact_quantiles(
     return bounds.select(*by, F.array(*between).alias("quantiles"))
 
 
+def seeded_hash(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def hash_ranks(df: DataFrame, key: str, stratum: str, seed: int, digits: int = 3) -> DataFrame:
     """Add ``rn`` and ``n_class``: a seeded shuffle of each stratum as exact ranks from 1.
 
     ``df`` is read twice: stage it if it is costly. Ranking follows the MD5 text of key and seed. Its first ``digits`` hex digits spread any stratum
     evenly over 16**digits windows, so the largest class is never sorted in one task.
     """
-    rows = df.withColumn("_h", F.md5(F.concat_ws("_", F.col(key).cast("string"), F.lit(str(seed)))))
+    rows = df.withColumn("_h", seeded_hash(key, seed))
     rows = rows.withColumn("_p", F.substring("_h", 1, digits))
     sizes = rows.groupBy(stratum, "_p").agg(F.count("*").alias("_m"))
     before = W.partitionBy(stratum).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
@@ -134,3 +138,27 @@ def hash_ranks(df: DataFrame, key: str, stratum: str, seed: int, digits: int = 3
     return rows.join(F.broadcast(offsets), F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).select(
         *df.columns, (F.col("_before") + F.row_number().over(inside)).alias("rn"), "n_class"
     )
+
+
+def hash_cut(df: DataFrame, key: str, stratum: str, seed: int, share: float, accuracy: int = ACCURACY) -> DataFrame:
+    """(stratum, hash, key) of the round(share x n)-th row of each stratum in the order of :func:`hash_ranks`.
+
+    ``df`` is read three times: stage it if it is costly. A sketch of the hashes brackets the rank, rows below the bracket
+    are counted, and only those inside, a few in ten thousand, are ordered. A stratum of which no row is wanted is left out.
+    """
+    rows = df.select(F.col(stratum).alias("_s"), F.col(key).alias("_key"), seeded_hash(key, seed).alias("_h"))
+    # thirteen digits fill the whole numbers that a double holds
+    rows = rows.withColumn("_x", F.conv(F.substring("_h", 1, 13), 16, 10).cast("double"))
+    error = 2.0 / accuracy
+    marks = F.percentile_approx("_x", F.array(F.lit(max(0.0, share - error)), F.lit(min(1.0, share + error))), accuracy)
+    sizes = rows.groupBy("_s").agg(F.count("*").alias("_n"), marks.alias("_m"))
+    few = F.col("_n") <= 4 * accuracy
+    brackets = sizes.select(
+        F.col("_s").alias("_t"), F.round(F.col("_n") * share).cast("long").alias("_want"), F.when(few, 0.0).otherwise(F.col("_m")[0]).alias("_lo"),
+        F.when(few, 2.0**53).otherwise(F.col("_m")[1]).alias("_hi"),
+    )
+    met = rows.join(brackets, F.col("_s").eqNullSafe(F.col("_t")))
+    below = met.groupBy(F.col("_s").alias("_b")).agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"))
+    inside = met.where("_x >= _lo AND _x <= _hi").withColumn("_rn", F.row_number().over(W.partitionBy("_s").orderBy("_h", "_key")))
+    found = inside.join(below, F.col("_s").eqNullSafe(F.col("_b"))).where("_rn + _below = _want")
+    return found.select(F.col("_s").alias(stratum), F.col("_h").alias("hash"), F.col("_key").alias(key))

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leadspark.constants import FEATURES, FOLDS, LABEL_DEFINING, SEED, TEST_SHARE, TRAIN_CATEGORICALS
-from leadspark.functions.ordered import hash_ranks
+from leadspark.functions.ordered import hash_cut, hash_ranks, seeded_hash
 from leadspark.functions.scalars import present
 from leadspark.session import stage
 
@@ -87,9 +87,16 @@ def model_matrix(features: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label: str = "converted", key: str = "lead_id", share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Add ``is_test``: exactly round(share · n) rows of each class, chosen by a seeded hash of the key."""
-    ranked = hash_ranks(df, key, label, seed)
-    return ranked.withColumn("is_test", F.col("rn") <= F.round(F.col("n_class") * share)).drop("rn", "n_class")
+    """Add ``is_test``: exactly round(share · n) rows of each class, those of the least seeded hashes of the key.
+
+    The last chosen hash of each class is found first, so the split is a comparison: rows are neither sorted nor moved.
+    """
+    rows = stage(df, "to-split")
+    last = hash_cut(rows, key, label, seed, share)
+    last = stage(last.select(F.col(label).alias("_class"), F.struct("hash", key).alias("_last")), "split-at")
+    split = rows.join(last, F.col(label).eqNullSafe(F.col("_class")), "left")
+    here = F.struct(seeded_hash(key, seed).alias("hash"), F.col(key))
+    return split.withColumn("is_test", F.coalesce(here <= F.col("_last"), F.lit(False))).drop("_class", "_last")
 
 
 def stratified_folds(df: DataFrame, label: str = "converted", key: str = "lead_id", folds: int = FOLDS, seed: int = SEED) -> DataFrame:

@@ -91,8 +91,27 @@ def lead_activity(interactions: DataFrame) -> DataFrame:
     Interactions shrink to one row per lead, session and date first. That short table gives the measures and
     both distinct counts, for which Spark repeats rows; the raw interactions are neither repeated nor read again.
     """
-    short = interactions.groupBy("lead_id", "session_id", F.to_date("ts").alias("date")).agg(*_first_level())
-    return short.groupBy("lead_id").agg(
+    return activity_of(partials(interactions))
+
+
+def partials(interactions: DataFrame) -> DataFrame:
+    """One row per lead, session and date, with sums, counts and extremes that add up over parts of the interactions."""
+    return interactions.groupBy("lead_id", "session_id", F.to_date("ts").alias("date")).agg(*_first_level())
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Partials of several parts of the interactions as those of all of them."""
+    def again(name: str, kind: str) -> list[Column]:
+        if kind == "avg":
+            return [F.sum(name).alias(name), F.sum(f"{name}_n").alias(f"{name}_n")]
+        return [{"count": F.sum, "sum0": F.sum, "max": F.max, "min": F.min, "bits": F.bit_or}[kind](name).alias(name)]
+
+    return parts.groupBy("lead_id", "session_id", "date").agg(*[c for name, (kind, _) in _measures().items() for c in again(name, kind)])
+
+
+def activity_of(parts: DataFrame) -> DataFrame:
+    """The activity per lead from partials, of whatever parts of the interactions."""
+    return parts.groupBy("lead_id").agg(
         *_second_level(), F.count_distinct("session_id").alias("session_count"), F.count_distinct("date").alias("active_days")
     )
 
@@ -163,16 +182,17 @@ def add_logs(features: DataFrame) -> DataFrame:
     return features.withColumns({name: F.log1p(F.col(name.removeprefix("log_"))) for name in LOGS})
 
 
-def interaction_features(interactions: DataFrame) -> DataFrame:
-    """All engineered features of the leads that have interactions, with ``is_converted``."""
-    activity = staged_activity(interactions)
+def interaction_features(interactions: DataFrame | None, activity: DataFrame | None = None) -> DataFrame:
+    """All engineered features of the leads that have interactions, with ``is_converted``; ``activity`` if it is at hand."""
+    activity = staged_activity(interactions) if activity is None else activity
     temporal = add_temporal(activity, activity)
     filled = temporal.fillna(0.0, subset=["engagement_span_days", "avg_session_gap_days"])
     return add_logs(add_ratios(filled)).select("lead_id", "is_converted", *ENGINEERED)
 
 
 def lead_features(
-    leads: DataFrame, interactions: DataFrame, medians: dict[str, float] | None = None, fill_recency: float | None = 0.0
+    leads: DataFrame, interactions: DataFrame | None, medians: dict[str, float] | None = None, fill_recency: float | None = 0.0,
+    activity: DataFrame | None = None,
 ) -> DataFrame:
     """The whole feature table: one row per lead, its profile, ``converted`` and 31 engineered features.
 
@@ -180,7 +200,7 @@ def lead_features(
     ``fill_recency=None`` to leave their recency empty instead.
     """
     profile = training_leads(leads, medians)
-    joined = profile.join(interaction_features(interactions), "lead_id", "left")
+    joined = profile.join(interaction_features(interactions, activity), "lead_id", "left")
     joined = joined.withColumn("converted", _zero_if_none(F.col("is_converted"), 0)).withColumn(
         "return_visitor_flag", flag_to_int("return_visitor_flag")
     )

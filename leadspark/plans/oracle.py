@@ -293,6 +293,7 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     "ratio_features": f"SELECT lead_id, {_round(RATIOS)} FROM inter",
     "log_features": f"SELECT lead_id, {_round(LOGS)} FROM inter",
     "lead_features": f"SELECT {_out(_feature_columns)} FROM feats",
+    "lead_features_kept": f"SELECT {_out(_feature_columns)} FROM feats",
     "conversion_summary": "SELECT CAST(sum(converted) AS BIGINT) AS n_converted, count(*) AS n_leads, round(avg(converted) * 100, 4) AS rate_pct, CAST(count_if(converted = 0) AS BIGINT) AS n_not_converted FROM labelled",
     "class_counts": "SELECT converted, count(*) AS n_leads FROM labelled GROUP BY converted",
     "source_volume": "SELECT source, count(*) AS n_leads FROM leads_first WHERE source IS NOT NULL GROUP BY source ORDER BY 2 DESC, 1",
@@ -351,6 +352,8 @@ ORACLES: dict[str, str] = {name: _sql(body) for name, body in {
     ),
     "third_pricing_view": "SELECT lead_id, interaction_id, ts AS alert_at FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY ts, interaction_id) AS rn "
         "FROM known WHERE page_name = 'Pricing' AND ts IS NOT NULL) WHERE rn = 3",
+    "third_pricing_view_stream": "SELECT lead_id, interaction_id, ts AS alert_at FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY ts, interaction_id) AS rn "
+        "FROM known WHERE page_name = 'Pricing' AND ts IS NOT NULL) WHERE rn = 3",
     "label_encode": f"SELECT lead_id, {_coded} FROM (SELECT lead_id, {', '.join(f'coalesce({c}, {chr(39)}Unknown{chr(39)}) AS {c}' for c in _FILLED)} FROM leads_first)",
     "stratified_split": "SELECT lead_id, converted, rn <= round(0.2 * n) AS is_test FROM ranked_class",
     "stratified_folds": "SELECT lead_id, converted, CAST((rn - 1) % 5 AS INT) AS fold FROM ranked_class",

@@ -14,13 +14,15 @@ from pyspark.sql import types as T
 from leadspark.constants import EXPLORE_CATEGORICALS, FEATURES, MEDIAN_COLUMNS, MODERATE_FROM, STRONG_FROM, TRAIN_CATEGORICALS
 from leadspark.functions.scalars import flag_to_int, funnel_order, number_text, parse_ts, present
 from leadspark.functions.stats import box_stats
-from leadspark.operators import cleaning, encode, explain, explore, features, labels, logistic, metrics, models, quality, scoring
+from leadspark.operators import cleaning, encode, explain, explore, features, kept, labels, logistic, metrics, models, quality, scoring
 from leadspark.session import fresh_path, stage
 from leadspark.sources import csv, sinks
 from leadspark.sources.rolemap import ORDER_EVENTS_SQL, LeadTables, read_tables
+from leadspark.streaming import alerts
 from leadspark.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
+STREAM_FILES = 4
 MEASURES = ["accuracy", "precision", "recall", "f1", "auc_roc"]
 
 # What was fitted in this session: (application, data, what) to the fit. Queries over the same data share fits.
@@ -282,6 +284,30 @@ def score_stream(t: LeadTables) -> DataFrame:
     return banded(arrived).join(same, "lead_id")
 
 
+def alerts_of_stream(t: LeadTables) -> DataFrame:
+    """Third pricing views as a stream finds them over files that hold the interactions in no order."""
+    spark = t.leads.sparkSession
+    inbox, out, log = (fresh_path(spark, name) for name in ("events-in", "alerts", "alerts-log"))
+    columns = t.interactions.select("interaction_id", "lead_id", "page_name", "ts")
+    columns.repartition(STREAM_FILES, F.xxhash64("interaction_id")).write.parquet(inbox)
+    stream = streaming.read_feature_stream(spark, inbox, columns.schema, files_per_trigger=1)
+    # no event is late, as every file holds events of the whole time
+    alerts.write_alerts(alerts.pricing_alerts(stream, delay="36500 days"), out, log).awaitTermination()
+    return alerts.current_alerts(spark, out)
+
+
+def features_kept(t: LeadTables) -> DataFrame:
+    """The feature table from stored partials, after an increment of the days up to one, one of the days after it, and
+    the first again."""
+    spark = t.leads.sparkSession
+    store, small = fresh_path(spark, "kept"), fresh_path(spark, "kept-merged")
+    early = F.coalesce(F.dayofmonth("ts") <= 15, F.lit(True))
+    for name, part in (("early", early), ("late", ~early), ("early", early)):
+        kept.add_increment(store, name, t.interactions.where(part))
+    kept.compact(spark, store, small)
+    return rounded(kept.kept_features(spark, t.leads, small))
+
+
 def explain_tree(t: LeadTables) -> DataFrame:
     """Shapley contributions of a forest for every row: whether they and the base value add up to the probability."""
     trained = _train(t, ["Random Forest"])
@@ -472,6 +498,8 @@ QUERIES: dict[str, Query] = {
             "lead_id", F.round("probability_1", 4).alias("conversion_probability"), scoring.decision(F.col("probability_1")).alias("prediction"), "summary"
         )
     ),
+    "third_pricing_view_stream": _on(alerts_of_stream),
+    "lead_features_kept": _on(features_kept),
     "explain_tree": _on(explain_tree),
     "explain_forest_factors": _on(lambda t: fitted_factors(t, "Random Forest")),
     "explain_forest_summary": _on(lambda t: fitted_summary(t, "Random Forest")),

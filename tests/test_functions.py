@@ -74,6 +74,14 @@ def test_running_totals(spark, descending, buckets):
         assert (got[x]["cum_m"], got[x]["cum_n"], got[x]["all_m"], got[x]["all_n"]) == (m, n, sum(r[1] for r in rows), 600)
 
 
+@pytest.mark.parametrize("share,accuracy", [(0.2, 20), (0.2, 10_000), (0.5, 40), (0.0, 20), (1.0, 20)])
+def test_split_by_a_found_hash_equals_the_ranks(spark, share, accuracy):
+    df = spark.createDataFrame([(k % 900, None if k % 11 == 0 else k % 2) for k in range(1000)], "id long, y long").repartition(3)
+    ranked = ordered.hash_ranks(df, "id", "y", 42).where(F.col("rn") == F.round(F.col("n_class") * share))
+    want = {(r.y, r.id) for r in ranked.collect()}
+    assert {(r.y, r.id) for r in ordered.hash_cut(df, "id", "y", 42, share, accuracy).collect()} == want
+
+
 def test_hash_ranks_are_a_shuffle_of_each_class(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, 1).otherwise(0).alias("y"))
     rows = ordered.hash_ranks(df, "id", "y", 42).collect()

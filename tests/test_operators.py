@@ -233,3 +233,29 @@ def test_features_read_the_interactions_once(spark, tmp_path):
     assert plan.count("FileScan parquet") == 1
     frame = feats.lead_features(t.leads, t.interactions, medians={})
     assert "events.parquet" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alerts_are_corrected_and_expire(spark, tmp_path):
+    """Views in any order: an alert at once, a revision when an earlier view arrives, nothing for views behind the watermark."""
+    import datetime
+
+    from leadspark.session import fresh_path
+    from leadspark.streaming import alerts
+    from leadspark.streaming.scoring import read_feature_stream
+
+    day = lambda d: datetime.datetime(2026, 1, d)
+    schema = "interaction_id long, lead_id long, page_name string, ts timestamp_ntz"
+    files = [
+        [(1, 7, "Pricing", day(1)), (2, 7, "Pricing", day(4)), (3, 7, "Pricing", day(5)), (3, 7, "Pricing", day(5)), (9, None, "Pricing", day(5)), (8, 7, "Home", day(1))],
+        [(4, 7, "Pricing", day(3)), (5, 8, "Pricing", day(20)), (6, 8, "Pricing", day(20))],
+        [(7, 8, "Pricing", day(20)), (10, 7, "Pricing", day(2))],
+    ]
+    inbox, out, log = (fresh_path(spark, n) for n in ("alerts-in", "alerts-out", "alerts-log"))
+    found = []
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream = read_feature_stream(spark, inbox, spark.read.parquet(inbox).schema)
+        alerts.write_alerts(alerts.pricing_alerts(stream, delay="10 days"), out, log).awaitTermination()
+        found.append({r.lead_id: (r.interaction_id, r.alert_at.day) for r in alerts.current_alerts(spark, out).collect()})
+    # the last file's view of day 2 is more than ten days behind day 20
+    assert found == [{7: (3, 5)}, {7: (2, 4)}, {7: (2, 4), 8: (7, 20)}]

@@ -26,6 +26,7 @@ from leadspark.llm.arrow import small
 from leadspark.session import stage, unstage
 
 BLOCK = 1024  # prefixes of a conversation in one row
+ROUNDS = 3  # of a search between two writes
 EMPTY = bytes(16)  # digest of no turns
 GROUP, PREFIX = 100, 5  # conversations of a group start with up to so many turns of its first
 
@@ -109,32 +110,37 @@ def fattest(low: str, high: str) -> Column:
     return F.expr(f"shiftleft(shiftright({high}, length(bin({low} ^ {high})) - 1), length(bin({low} ^ {high})) - 1)")
 
 
-def with_digest(df: DataFrame, paths: DataFrame, conv: str, depth: Column, name: str) -> DataFrame:
-    """``df`` with the digest of the first ``depth`` turns of conversation ``conv``; null beyond its end."""
+def with_digests(df: DataFrame, paths: DataFrame, conv: str, depths: dict[str, Column]) -> DataFrame:
+    """``df`` with the digests of the first so many turns of conversation ``conv``; null beyond its end."""
     at = paths.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), F.col("digests").alias("_digests"))
-    probed = df.withColumn("_at", depth)
-    found = probed.join(at, (F.col(conv) == F.col("_conv")) & (F.floor((F.col("_at") - 1) / BLOCK) == F.col("_block")), "left")
-    digest = F.when(F.col("_at") == 0, F.lit(EMPTY)).otherwise(F.try_element_at("_digests", ((F.col("_at") - 1) % BLOCK + 1).cast("int")))
-    return found.select(*df.columns, digest.alias(name))
+    for name, depth in depths.items():
+        joined = df.withColumn("_at", depth).withColumn("_in", F.floor((F.col("_at") - 1) / BLOCK))
+        joined = joined.join(at, (F.col(conv) == F.col("_conv")) & (F.col("_in") == F.col("_block")), "left")
+        found = F.try_element_at("_digests", ((F.col("_at") - 1) % BLOCK + 1).cast("int"))
+        df = joined.select(*df.columns, F.when(F.col("_at") == 0, F.lit(EMPTY)).otherwise(found).alias(name))
+    return df
 
 
 def search(pending: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """Fat binary search: ``at`` becomes the id and ``low`` the depth of the deepest node whose handle starts the path."""
+    """Fat binary search: ``at`` becomes the id and ``low`` the depth of the deepest node whose handle starts the path.
+
+    A round rules out the depth looked up, the fattest left, so there are no more rounds than bits in a depth.
+    """
     handles = nodes.select(F.col("handle").alias("_handle"), F.col("id").alias("_id"), F.col("high").alias("_high"))
+    hit = F.col("_id").isNotNull()
+    longest = pending.agg(F.max("high")).first()[0]  # one number
     state = pending
-    while not state.where("low < high").isEmpty():
+    for k in range(longest.bit_length()):
         fat = F.when(F.col("low") < F.col("high"), fattest("low", "high"))
-        probed = with_digest(state.withColumn("fat", fat), paths, "conv_id", F.col("fat"), "probe").join(handles, F.col("probe") == F.col("_handle"), "left")
-        hit = F.col("_id").isNotNull()
-        moved = stage(probed.select(
+        probed = with_digests(state.withColumn("fat", fat), paths, "conv_id", {"probe": F.col("fat")}).join(handles, F.col("probe") == F.col("_handle"), "left")
+        state = probed.select(
             "conv_id", "size",
             F.when(hit, F.col("_high")).otherwise(F.col("low")).alias("low"),
             F.when(F.col("fat").isNull() | hit, F.col("high")).otherwise(F.col("fat") - 1).alias("high"),
             F.coalesce("_id", "at").alias("at"),
-        ), "search")
-        if state is not pending:
-            unstage(state)
-        state = moved
+        )
+        if k % ROUNDS == ROUNDS - 1:
+            state = stage(state, "search")
     return state
 
 
@@ -144,9 +150,9 @@ def locate(pending: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
     found = search(pending, nodes, paths)
     edges = nodes.select(F.col("id").alias("edge"), F.col("low").alias("edge_low"), F.col("high").alias("edge_high"), F.col("conv_id").alias("edge_conv"), "step")
     # at the node found, if its whole path is a prefix; else on the edge to it
-    here = with_digest(found, paths, "conv_id", F.col("low"), "here").withColumn("inside", ~F.col("here").eqNullSafe(F.col("at")))
-    here = here.where("inside OR low < size")
-    below = with_digest(here.where("NOT inside"), paths, "conv_id", F.col("low") + 1, "next").join(edges, F.col("next") == F.col("step"), "left")
+    here = with_digests(found, paths, "conv_id", {"here": F.col("low"), "next": F.col("low") + 1}).withColumn("inside", ~F.col("here").eqNullSafe(F.col("at")))
+    here = stage(here.where("inside OR low < size"), "found")
+    below = here.where("NOT inside").join(edges, F.col("next") == F.col("step"), "left")
     into = here.where("inside").join(edges.drop("step"), F.col("at") == F.col("edge"))
     columns = ["conv_id", "size", "low", "edge", "edge_low", "edge_high", "edge_conv"]
     exits = stage(below.select(*columns).unionByName(into.select(*columns)), "exits")
@@ -164,7 +170,7 @@ def locate(pending: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
 
 def insert(located: DataFrame, nodes: DataFrame | None, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The trie with a batch entered, and the conversations that still wait, each from the node where it left."""
-    keyed = stage(with_digest(located, paths, "conv_id", F.col("matched") + 1, "key"), "located")
+    keyed = stage(with_digests(located, paths, "conv_id", {"key": F.col("matched") + 1, "at": F.col("matched")}), "located")
     entering = keyed.where("matched < size").groupBy("key").agg(F.min_by(F.struct("conv_id", "size", "matched"), F.struct(F.xxhash64("conv_id"), "conv_id")).alias("leaf"))
     leaves = entering.select(F.col("leaf.conv_id").alias("conv_id"), F.col("leaf.matched").alias("low"), F.col("leaf.size").alias("high"))
     cuts = keyed.where("edge IS NOT NULL").select("edge", "edge_low", "edge_high", "edge_conv", F.col("matched").alias("high"))
@@ -172,16 +178,15 @@ def insert(located: DataFrame, nodes: DataFrame | None, paths: DataFrame) -> tup
     above = F.lag("high").over(W.partitionBy("edge").orderBy("high"))
     pieces = cuts.select("edge", F.col("edge_conv").alias("conv_id"), F.coalesce(above, F.col("edge_low")).alias("low"), "high")
     new = leaves.unionByName(pieces.select("conv_id", "low", "high")).withColumn("fat", fattest("low", "high"))
-    for name, depth in (("id", F.col("high")), ("up", F.col("low")), ("step", F.col("low") + 1), ("handle", F.col("fat"))):
-        new = with_digest(new, paths, "conv_id", depth, name)
-    new = new.drop("fat")
+    depths = {"id": F.col("high"), "up": F.col("low"), "step": F.col("low") + 1, "handle": F.col("fat")}
+    new = with_digests(new, paths, "conv_id", depths).drop("fat")
     if nodes is not None:
         whole = nodes.join(keyed.where("edge IS NOT NULL").select(F.col("edge").alias("id")).distinct(), "id", "left_anti")
         new = whole.select(*new.columns).unionByName(new)
     trie = stage(new, "trie")
     entered = entering.select(F.col("leaf.conv_id").alias("conv_id"))
-    waiting = keyed.where("matched < size").join(entered, "conv_id", "left_anti").select("conv_id", "size", F.col("matched").alias("low"), F.col("size").alias("high"))
-    waiting = stage(with_digest(waiting, paths, "conv_id", F.col("low"), "at"), "waiting")
+    waiting = keyed.where("matched < size").join(entered, "conv_id", "left_anti").select("conv_id", "size", F.col("matched").alias("low"), F.col("size").alias("high"), "at")
+    waiting = stage(waiting, "waiting")
     unstage(keyed)
     return trie, waiting
 
@@ -284,11 +289,13 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     ends = end_digests(members)
 
     total = groups.agg(F.min("conv_id").alias("first"), F.sum("n").alias("n")).first()  # one row
-    top = weighed.where(F.col("up") == F.lit(EMPTY)).agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"))
-    root = top.withColumn("id", F.lit(EMPTY)).join(ends, "id", "left").where(F.lit(total["first"] is not None)).select(
+    top = weighed.where(F.col("up") == F.lit(EMPTY)).select(F.lit(1).alias("child"), "n_leaves", "saved", F.lit(None).cast("string").alias("ends"))
+    last = ends.where(F.col("id") == F.lit(EMPTY)).select(F.lit(None).alias("child"), F.lit(None).alias("n_leaves"), F.lit(None).alias("saved"), F.col("ends_sha256").alias("ends"))
+    root = top.unionByName(last).agg(F.count("child").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved").alias("saved"), F.max("ends").alias("ends"))
+    root = root.where(F.lit(total["first"] is not None)).select(
         F.lit(total["first"]).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"),
         F.lit(total["n"]).cast("long").alias("n_convs"), "n_children", F.coalesce("n_leaves", F.lit(1).cast("long")).alias("n_leaves"),
-        F.coalesce("saved", F.lit(0).cast("long")).alias("saved_tokens"), F.coalesce("ends_sha256", empty).alias("ends_sha256"),
+        F.coalesce("saved", F.lit(0).cast("long")).alias("saved_tokens"), F.coalesce("ends", empty).alias("ends_sha256"),
     )
     parents = weighed.select(F.col("id").alias("up"), F.col("least").alias("parent"))
     named = weighed.join(parents, "up", "left").withColumn("parent", F.coalesce("parent", F.lit(total["first"]).cast("long"))).join(ends, "id", "left")

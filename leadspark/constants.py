@@ -73,6 +73,15 @@ CONFIDENCE_HIGH_FROM, CONFIDENCE_MEDIUM_FROM = 0.85, 0.60
 RISK_LOW_FROM, RISK_MEDIUM_FROM = 0.80, 0.50
 STRONG_FROM, MODERATE_FROM = 0.75, 0.45
 
+# Sentences of a summary, and why a request is rejected; the braces are filled in.
+SCORE_TEXT = "This lead has a {} conversion probability of {}."
+STAGE_TEXT = "The lead reached the {} stage of the funnel."
+POSITIVE_TEXT = "Key positive signals: {}."
+NO_POSITIVE_TEXT = "No strong positive signals detected."
+NEGATIVE_TEXT = "Main drag: {}."
+BAD_NUMBER_TEXT = "Invalid number for '{}'."
+BAD_SOURCE_TEXT = "Invalid value for 'source'. Allowed values: {}"
+
 # Model settings.
 SEED = 42
 TEST_SHARE = 0.2

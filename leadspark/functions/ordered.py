@@ -135,7 +135,7 @@ def hash_ranks(df: DataFrame, key: str, stratum: str, seed: int, digits: int = 3
         F.sum("_m").over(W.partitionBy(stratum)).alias("n_class"),
     )
     inside = W.partitionBy(stratum, "_p").orderBy("_h", key)
-    return rows.join(F.broadcast(offsets), F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).select(
+    return rows.join(offsets, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).select(
         *df.columns, (F.col("_before") + F.row_number().over(inside)).alias("rn"), "n_class"
     )
 

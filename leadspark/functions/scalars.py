@@ -92,3 +92,9 @@ def number_text(x: Column | str) -> Column:
 def percent_text(p: Column | str) -> Column:
     """0.825 → '82%': whole percent, halves to even."""
     return F.concat(F.format_number(col(p) * 100, 0), F.lit("%"))
+
+
+def filled(text: str, *values: Column) -> Column:
+    """``text`` with its braces replaced by the values in order."""
+    parts = text.split("{}")
+    return F.concat(F.lit(parts[0]), *[c for value, part in zip(values, parts[1:]) for c in (value, F.lit(part))])

@@ -81,7 +81,7 @@ def histogram(long: DataFrame, groups: Sequence[str], classes: Sequence[str], bi
         return F.col("lo") + i * (F.col("hi") - F.col("lo")) / bins
 
     if groups:
-        ranged = known.join(F.broadcast(ends), groups)
+        ranged = known.join(ends, groups)
     else:
         span = ends.select(F.struct("lo", "hi")).scalar()
         ranged = known.withColumn("_span", span).select(*known.columns, "_span.lo", "_span.hi")
@@ -91,7 +91,7 @@ def histogram(long: DataFrame, groups: Sequence[str], classes: Sequence[str], bi
     guess = F.when((F.col("value") >= edge(guess + 1)) & (guess < bins - 1), guess + 1).otherwise(guess)
     filled = ranged.select(*groups, *classes, (guess + 1).cast("int").alias("bin")).groupBy(*groups, *classes, "bin").agg(F.count("*").alias("n"))
     grid = known.select(*groups, *classes).distinct()
-    grid = grid.join(F.broadcast(ends), groups) if groups else _with_span(grid, classes, ends)
+    grid = grid.join(ends, groups) if groups else _with_span(grid, classes, ends)
     grid = grid.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
     grid = grid.withColumn("bin_start", edge(F.col("bin") - 1)).withColumn("bin_end", edge(F.col("bin")))
     return grid.join(filled, [*groups, *classes, "bin"], "left").select(
@@ -112,7 +112,7 @@ def box_stats(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     known = df.where(F.col(value).isNotNull())
     quartiles = exact_quantiles(known, value, [0.25, 0.5, 0.75], [by] if by else [])
     if by:
-        boxed = known.select(by, F.col(value).cast("double").alias("x")).join(F.broadcast(quartiles), by)
+        boxed = known.select(by, F.col(value).cast("double").alias("x")).join(quartiles, by)
     else:
         boxed = known.select(F.col(value).cast("double").alias("x"), quartiles.select("quantiles").scalar().alias("quantiles"))
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
@@ -145,10 +145,10 @@ def kernel_density(long: DataFrame, group: str, label: str, points: int = 200) -
         F.count("*").alias("n"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo_c"), F.max("value").alias("hi_c")
     )
     ends = shape.groupBy(group).agg(F.min("lo_c").alias("lo"), F.max("hi_c").alias("hi"))
-    shape = shape.join(F.broadcast(ends), group).where("sd > 0").select(
+    shape = shape.join(ends, group).where("sd > 0").select(
         group, label, "n", "lo", "hi", (F.col("sd") * F.pow(F.col("n").cast("double"), -0.2)).alias("h")
     )
-    grid = counts.join(F.broadcast(shape), [group, label]).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    grid = counts.join(shape, [group, label]).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     x = F.col("lo") + F.col("point") * (F.col("hi") - F.col("lo")) / (points - 1)
     u = (F.col("x") - F.col("value")) / F.col("h")
     return (

@@ -12,8 +12,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.constants import FEATURE_LABELS, FEATURES, FUNNEL_ORDER, MODERATE_FROM, STRONG_FROM
-from leadspark.functions.scalars import lookup, number_text, percent_text
+from leadspark.constants import (
+    FEATURE_LABELS, FEATURES, FUNNEL_ORDER, MODERATE_FROM, NEGATIVE_TEXT, NO_POSITIVE_TEXT, POSITIVE_TEXT, SCORE_TEXT, STAGE_TEXT, STRONG_FROM,
+)
+from leadspark.functions.scalars import filled, lookup, number_text, percent_text
 from leadspark.session import fresh_path
 
 CONTRIBUTIONS = [f"c_{f}" for f in FEATURES]
@@ -64,12 +66,10 @@ def summary_text(probability: Column, factors: Column, stage: Column) -> Column:
     negative = F.slice(F.filter(factors, lambda x: x["contribution"] < 0), 1, 1)
     return F.concat_ws(
         " ",
-        F.concat(F.lit("This lead has a "), strength, F.lit(" conversion probability of "), percent_text(probability), F.lit(".")),
-        F.concat(F.lit("The lead reached the "), stage_name, F.lit(" stage of the funnel.")),
-        F.when(F.size(positive) > 0, F.concat(F.lit("Key positive signals: "), _named(positive), F.lit("."))).otherwise(
-            "No strong positive signals detected."
-        ),
-        F.when(F.size(negative) > 0, F.concat(F.lit("Main drag: "), _named(negative), F.lit("."))),
+        filled(SCORE_TEXT, strength, percent_text(probability)),
+        filled(STAGE_TEXT, stage_name),
+        F.when(F.size(positive) > 0, filled(POSITIVE_TEXT, _named(positive))).otherwise(NO_POSITIVE_TEXT),
+        F.when(F.size(negative) > 0, filled(NEGATIVE_TEXT, _named(negative))),
     )
 
 

@@ -152,7 +152,7 @@ def _weekdays(events: DataFrame, counted: Column) -> DataFrame:
     """Counts on the seven weekdays, Monday first; null for a day without events."""
     days = events.sparkSession.createDataFrame(list(enumerate(WEEKDAYS, 1)), "dow_no int, day_of_week string")
     counts = events.where("ts IS NOT NULL").groupBy((F.weekday("ts") + 1).alias("dow_no")).agg(counted.alias("n_events"))
-    return F.broadcast(days).join(counts, "dow_no", "left")
+    return days.join(counts, "dow_no", "left")
 
 
 def weekday_events(interactions: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def confusion_matrix(scored: DataFrame, label: str = "converted") -> DataFrame:
     """Counts of the four (actual, predicted) cells, absent ones as 0."""
     cells = scored.sparkSession.createDataFrame([(a, p) for a in (0, 1) for p in (0, 1)], "actual int, predicted int")
     counts = scored.groupBy(F.col(label).cast("int").alias("actual"), F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("n"))
-    return F.broadcast(cells).join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return cells.join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def select_best(leaderboard: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadspark.constants import (
-    ACCEPT_FROM, CONFIDENCE_HIGH_FROM, CONFIDENCE_MEDIUM_FROM, FEATURES, RISK_LOW_FROM, RISK_MEDIUM_FROM,
+    ACCEPT_FROM, BAD_NUMBER_TEXT, BAD_SOURCE_TEXT, CONFIDENCE_HIGH_FROM, CONFIDENCE_MEDIUM_FROM, FEATURES, RISK_LOW_FROM, RISK_MEDIUM_FROM,
 )
 from leadspark.operators.models import score
 
@@ -54,8 +54,8 @@ def check_requests(requests: DataFrame, allowed_sources: Sequence[str]) -> DataF
         bad = number.isNull() | F.isnan(number) | (F.abs(number) >= 2.0**63)  # infinite ones too
         if c in WHOLE_NUMBERS:
             bad = bad | (number != F.floor(number))
-        checks.append(F.when(bad, F.concat(F.lit("Invalid number for '"), F.lit(c), F.lit("'."))))
-    unknown = F.when(~known, F.lit(f"Invalid value for 'source'. Allowed values: {listed}"))
+        checks.append(F.when(bad, F.lit(BAD_NUMBER_TEXT.format(c))))
+    unknown = F.when(~known, F.lit(BAD_SOURCE_TEXT.format(listed)))
     return requests.withColumn("reason", F.coalesce(*checks, unknown))
 
 

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 
@@ -33,6 +34,55 @@ def test_extraction(body, want):
         assert pages.extract(page, []) == want
 
 
+ARTICLE = f"<h1>T</h1><p>{TEXT}</p><p>{TEXT}</p>"
+SAID = f"T\n{TEXT}\n{TEXT}"
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        (f"<div class='content-sidebar'><article>{ARTICLE}</article></div>", SAID),
+        (f"<div class='layout with-sidebar'><div class=content>{ARTICLE}</div><div class=sidebar><p>{TEXT}</p></div></div>", SAID),
+        (f"<div class='site-main no-sidebar'>{ARTICLE}</div>", SAID),
+        (f"<article class='post tags-python comments-open'>{ARTICLE}<div id=comments><p>{TEXT} {TEXT} {TEXT}</p><p>{TEXT}</p></div></article>", SAID),
+        (f"<form id=aspnetForm><div>{ARTICLE}</div><div class=cookie-bar>{TEXT}</div></form>", SAID),
+        (f"<form>{ARTICLE}</form>", SAID),
+        (f"<article>{ARTICLE}<div class='side-by-side'><p>left</p><p>right</p></div><p class='social-science'>end</p><div class='share-buttons'>Tweet</div></article>", f"{SAID}\nleft\nright\nend"),
+        (f"<main><div class=sidebar-wrap>{ARTICLE}</div><p>z</p><div class=related-posts><p>Other</p></div></main>", f"{SAID}\nz"),
+        (f"<article>{ARTICLE}<p>a <span class=ad>buy</span> b <em class=share>now</em></p></article>", f"{SAID}\na b"),
+        (f"<article>{ARTICLE}</article>" + f"<div class=comments>{ARTICLE * 40}</div>", SAID),
+    ],
+)
+def test_names_alone_drop_no_article(body, want):
+    best = pages.vote(f"<body>{body}</body>")
+    assert pages.extract(f"<body>{body}</body>", []) == want == pages.extract(f"<body>{body}</body>", [best[0]])
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "</i>", "<font><p>", "<blockquote>", "<ul><li>", "<td>", "<dl><dd><div>", "<header>", "<form class=sidebar>", "<i class=ad>x<b>", "<", "<a ", "<div class='a b-1'>x"])
+def test_a_megabyte_of_nested_or_unclosed_tags(unit):
+    text = unit * (1_000_000 // len(unit)) + TEXT
+    began = time.process_time()
+    root = pages.parse(text)
+    pages.containers(root)
+    _, spans = pages.parts_of(root)
+    for node, _, _ in spans:
+        pages._key(node)
+    assert time.process_time() - began < 12
+
+
+def test_a_host_of_many_templates(spark):
+    """More templates than any list would keep, the rarest a hundredth of its pages; one page of each has a long teaser."""
+    rows = []
+    for t in range(30):
+        for k in range(3 if t else 200):
+            long = f"<p>{TEXT} {TEXT} {TEXT}</p>" if k == 2 else "<p>Other.</p>"
+            name = "".join(chr(97 + int(d)) for d in str(t))
+            rows.append((len(rows), "http://many.example/", page(f"<div class='story-{name}'><p>{TEXT}</p><p>{TEXT} {t}</p></div><div class='teaser'>{long}</div>"), f"{TEXT}\n{TEXT} {t}"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string").repartition(5)
+    got = pages.extract_pages(df).collect()
+    assert len(got) == len(rows) and [r.page_id for r in got if r.text != r.want] == []
+
+
 def test_paths_are_generalised():
     a, _ = pages.vote(f"<body><div class='post-12 x'><p>{TEXT}</p></div>")
     b, _ = pages.vote(f"<body><div class='x post-7'><p>{TEXT}</p></div>")

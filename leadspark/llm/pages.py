@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -373,17 +374,20 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url.cast("string"), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-_BLOCK = T.StructType().add("text", "string").add("cut", "integer")
-_SPAN = T.StructType().add("path", "binary").add("depth", "integer").add("first", "integer").add("n", "integer")
-_PARTS = T.StructType().add("_blocks", T.ArrayType(_BLOCK)).add("_spans", T.ArrayType(_SPAN)).add("_vote", "binary").add("_weight", "double")
+_RANGE = pa.struct([("depth", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])
+_KINDS = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.struct([("path", pa.binary()), ("ranges", pa.list_(_RANGE))])), pa.binary(), pa.float64()]
 
 
 def _parsed(pages: DataFrame, names: list[str]) -> DataFrame:
-    """``names`` of ``pages`` with each page's blocks, containers, and vote, from its column _html."""
-    schema = T.StructType([f for f in pages.schema.fields if f.name in names] + _PARTS.fields)
+    """``names`` of ``pages`` with each page's blocks, containers by path, and vote, from its column _html.
+
+    No block holds a line break, so the blocks are one text of lines, compressed as it is written and exchanged.
+    """
+    added = "_blocks binary, _cuts array<int>, _spans array<struct<path: binary, ranges: array<struct<depth: int, first: int, n: int>>>>, _vote binary, _weight double"
+    schema = T.StructType([f for f in pages.schema.fields if f.name in names] + T.StructType.fromDDL(added).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.list_(pa.struct([("text", pa.string()), ("cut", pa.int32())])), pa.list_(pa.struct([("path", pa.binary()), ("depth", pa.int32()), ("first", pa.int32()), ("n", pa.int32())])), pa.binary(), pa.float64()]
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in small(batches):
             get = lambda n: batch.column(batch.schema.get_field_index(n))
             rows = []
@@ -391,19 +395,40 @@ def _parsed(pages: DataFrame, names: list[str]) -> DataFrame:
                 root = parse(value.as_py() or "")
                 best = containers(root)
                 blocks, spans = parts_of(root)
-                held = sorted(((_key(node), node.depth, first, n) for node, first, n in spans), key=lambda s: s[2])
-                rows.append((blocks, held, _key(best[0][2]) if best else None, round(best[0][0], 6) if best else None))
-            yield pa.RecordBatch.from_arrays([*[get(n) for n in names], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=[f.name for f in schema.fields])
+                ranges: dict[bytes, list] = {}
+                for node, first, n in sorted(spans, key=lambda s: s[1]):
+                    ranges.setdefault(_key(node), []).append((node.depth, first, n))
+                vote_ = (_key(best[0][2]), round(best[0][0], 6)) if best else (None, None)
+                rows.append((pack("\n".join(t for t, _ in blocks).encode()), [cut for _, cut in blocks], list(ranges.items()), *vote_))
+            yield pa.RecordBatch.from_arrays([*[get(n) for n in names], *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)]], names=[f.name for f in schema.fields])
 
     return pages.mapInArrow(run, schema)
 
 
+def _cut(parts: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` with text and n_chars: the blocks that _ranges show, without any those outside of suspect elements."""
+    schema = T.StructType([f for f in parts.schema.fields if f.name in names] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in small(batches):
+            get = lambda n: batch.column(batch.schema.get_field_index(n))
+            texts = []
+            for packed, cuts, ranges in zip(get("_blocks"), get("_cuts"), get("_ranges")):
+                blocks = list(zip(unpack(packed.as_py()).decode().split("\n"), cuts.as_py()))
+                wanted = ranges.as_py() or [{"depth": 0, "first": 0, "n": len(blocks)}]
+                texts.append("\n".join(line for r in wanted for line in shown(blocks, r["depth"], r["first"], r["n"])))
+            yield pa.RecordBatch.from_arrays([*[get(n) for n in names], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[f.name for f in schema.fields])
+
+    return parts.mapInArrow(run, schema)
+
+
 def extract_pages(pages: DataFrame, url: str = "url", content: str = "html") -> DataFrame:
     """``pages`` without ``content``, with text and n_chars (its code points).
 
     A null or empty page has an empty text. Pages without a host form a host of their own. Repeated rows are pages of
     their own and vote as such; an empty table stays empty. Columns called text and n_chars are replaced; none may be
-    called _html, _host, _row, _blocks, _spans, _vote, _weight or _path. Every path with a vote counts, and a page takes
+    called _html, _host, _row, _blocks, _cuts, _spans, _vote, _weight, _path or _ranges. Every path with a vote counts, and a page takes
     the one of its paths with the largest share, ties to the heavier vote and the larger digest. A page none of whose containers shows text
     has the text outside of suspect elements. A host with a third of all pages can be split in the join of paths.
     """
@@ -411,12 +436,10 @@ def extract_pages(pages: DataFrame, url: str = "url", content: str = "html") ->
     hosted = pages.select(*names, F.col(content).cast("string").alias("_html"), host_of(F.col(url)).alias("_host"), F.monotonically_increasing_id().alias("_row"))
     parsed = stage(_parsed(hosted, [*names, "_host", "_row"]), "page-parts")
     weight = F.col("_weight").cast("decimal(28,6)")
-    held = parsed.select("_row", "_host", weight.alias("weight"), "_vote", F.explode(F.array_distinct("_spans.path")).alias("_path"))
+    held = parsed.select("_row", "_host", weight.alias("weight"), "_vote", F.inline("_spans").alias("_path", "_ranges"))
     won = F.when(F.col("_path") == F.col("_vote"), F.col("weight"))
     sums = held.groupBy("_host", "_path").agg(F.sum("weight").cast("double").alias("held"), F.sum(won).cast("double").alias("won"), F.count(won).alias("n")).where("n > 0")
     paths = sums.select("_host", "_path", (F.col("won") / (F.col("held") + F.col("won") / F.col("n"))).alias("rate"), "won")
-    best = held.select("_row", "_host", "_path").join(paths, ["_host", "_path"]).groupBy("_row").agg(F.max(F.struct("rate", "won", "_path")).alias("best")).select("_row", F.col("best._path").alias("_path"))
-    taken = F.flatten(F.transform(F.filter("_spans", lambda s: s["path"] == F.col("_path")), lambda s: F.filter(F.slice("_blocks", s["first"] + 1, s["n"]), lambda b: b["cut"] <= s["depth"])))
-    chosen = F.when(F.col("_path").isNotNull(), taken).otherwise(F.filter("_blocks", lambda b: b["cut"] == 0))
-    text = parsed.join(best, "_row", "left").select(*names, F.array_join(F.transform(chosen, lambda b: b["text"]), "\n").alias("text"))
-    return text.withColumn("n_chars", F.length("text").cast("long"))
+    best = held.select("_row", "_host", "_path", "_ranges").join(paths, ["_host", "_path"]).groupBy("_row").agg(F.max(F.struct("rate", "won", "_path", "_ranges")).alias("best"))
+    parts = parsed.select(*names, "_row", "_blocks", "_cuts").join(best.select("_row", F.col("best._ranges").alias("_ranges")), "_row", "left")
+    return _cut(parts, names)

@@ -17,8 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,37 +67,42 @@ def normal(line: str) -> list[str]:
     return line.lower().split()
 
 
-def _identity(key: str, text: str) -> list:
-    """128 bits that tell rows apart by key and text, as two columns; never null, so that joins on them are plain."""
-    return [F.xxhash64(key, F.col(text).cast("string")).alias("_doc_a"), F.xxhash64(F.lit(1), key, F.col(text).cast("string")).alias("_doc_b")]
+def _packed(docs: DataFrame, names: list[str], key: str, text: str) -> DataFrame:
+    """``names`` of ``docs`` but the text, with it compressed as _packed, and a struct for each line that is not blank.
 
-
-def _lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, identity, line, digest, fp) for each line that is not blank."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("_doc_a", T.LongType()), T.StructField("_doc_b", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType())])
+    The text is read by Python once; later steps exchange it compressed. _row numbers the rows of the written table.
+    """
+    others = [n for n in names if n != text]
+    rows = docs.select(*others, F.xxhash64(key, F.col(text).cast("string")).alias("_hash"), F.monotonically_increasing_id().alias("_row"), F.col(text).cast("string").alias("_text"))
+    added = T.StructType.fromDDL("_packed binary, _lines array<struct<line: int, digest: binary, fp: long>>")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "_text"] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, names = _Hashes(), [f.name for f in schema.fields]
+        cache, out, pack = _Hashes(), [f.name for f in schema.fields], zstandard.ZstdCompressor(level=1).compress
         for batch in small(batches):
-            rows, lines, digests, words, counts, fps = [], [], [], [], [], []
-            for row, value in enumerate(batch.column(3)):
-                for k, line in enumerate((value.as_py() or "").split("\n")):
+            packed, ends, lines, digests, words, counts, fps = [], [0], [], [], [], [], []
+            for value in batch.column(batch.num_columns - 1):
+                value = value.as_py()
+                packed.append(None if value is None else pack(value.encode()))
+                for k, line in enumerate((value or "").split("\n")):
                     if own := normal(line):
-                        rows.append(row), lines.append(k)
+                        lines.append(k)
                         digests.append(xxhash.xxh3_128_digest(" ".join(own)))
                         once = dict.fromkeys(own)
                         words += once
                         counts.append(len(once))
+                ends.append(len(lines))
                 if len(words) >= CHUNK_WORDS:
                     fps.append(line_hashes(words, counts, cache))
                     words, counts = [], []
             if counts:
                 fps.append(line_hashes(words, counts, cache))
             fps = np.concatenate(fps) if fps else np.empty(0, np.int64)
-            index = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in range(3)], pa.array(lines, pa.int32()), pa.array(digests, pa.binary()), pa.array(fps)], names=names)
+            found = pa.StructArray.from_arrays([pa.array(lines, pa.int32()), pa.array(digests, pa.binary()), pa.array(fps)], names=["line", "digest", "fp"])
+            nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary()), nested], names=out)
 
-    return docs.select(F.col(key).alias("key"), *_identity(key, text), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def _bucket_links(prints: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -218,17 +223,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     """``docs`` with repeated lines taken out of ``text``, and with ``counts`` the columns n_lines and n_removed.
 
     Lines are linked if their SimHashes differ in at most ``radius`` bits and their edit similarity is ``least`` or
-    more; of each connected group the first occurrence stays, by key (null last), hash of key and text, and line.
-    Blank lines stay where they are. A document all of whose lines go has an empty text; a null text stays null.
-    Rows with the same key and text are occurrences in turn: the lines of one row stay. Every row and every further
-    column stays; columns called n_lines and n_removed are replaced; none may be called
-    _doc_a, _doc_b, _kept or _nth. Values that are neither null nor blank count as
-    lines whatever their length. The text is shuffled twice, to fetch candidates and to apply the decisions.
+    more; of each connected group the first occurrence stays, by key (null last), hash of key and text, place of the
+    row, and line. Blank lines stay where they are. A document all of whose lines go has an empty text; a null text
+    stays null. Rows with the same key and text are occurrences in turn: the lines of one row stay. Every row and every
+    further column stays; columns called n_lines and n_removed are replaced; none may be called _hash, _row, _text,
+    _packed, _lines or _kept. Values that are neither null nor blank count as lines whatever their length. The text is
+    shuffled twice, compressed, to fetch candidates and to apply the decisions.
     """
     names = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
-    place = F.struct(F.col("key").isNull().alias("no"), "key", "_doc_a", "_doc_b", "line")
-    distinct = stage(_lines_of(docs, key, text).groupBy("digest").agg(F.min(place).alias("first"), F.first("fp").alias("fp")), "lines")
-    document = [F.col("first._doc_a").alias("_doc_a"), F.col("first._doc_b").alias("_doc_b")]
+    packed = stage(_packed(docs, names, key, text), "packed-documents")
+    place = F.struct(F.col("key").isNull().alias("no"), "key", "_hash", "_row", "line")
+    found = packed.select(F.col(key).alias("key"), "_hash", "_row", F.inline("_lines"))
+    distinct = stage(found.groupBy("digest").agg(F.min(place).alias("first"), F.first("fp").alias("fp")), "lines")
+    document = F.col("first._row").alias("_row")
 
     # groups of SimHashes within the radius, and SimHashes that several lines share
     prints = stage(distinct.groupBy("fp").agg(F.count("*").alias("n")), "line-simhash")
@@ -237,36 +244,38 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     candidates = stage(distinct.join(grouped, "fp").select("digest", "fp", "grp", "first", F.monotonically_increasing_id().alias("id")), "candidates")
 
     # their text, from the document of the first occurrence
-    wanted = candidates.groupBy(*document).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id", "grp", "fp")).alias("_lines"))
-    fetched = docs.select(*_identity(key, text), F.col(text).cast("string").alias("_text")).join(wanted, ["_doc_a", "_doc_b"]).select("_lines", "_text")
+    wanted = candidates.groupBy(document).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id", "grp", "fp")).alias("_lines"))
+    fetched = packed.select("_row", "_packed").join(wanted, "_row").select("_lines", "_packed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in small(batches):
-            out = [(x["id"], x["grp"], x["fp"], " ".join(normal(lines[x["line"]]))) for wanted, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for lines in [value.split("\n")] for x in wanted]
+            out = [(x["id"], x["grp"], x["fp"], " ".join(normal(lines[x["line"]]))) for wanted, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for lines in [unpack(value).decode().split("\n")] for x in wanted]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["id", "grp", "fp", "norm"])
 
-    texts = stage(fetched.mapInArrow(cut, "id long, grp long, fp long, norm string").dropDuplicates(["id"]), "line-texts")
+    texts = stage(fetched.mapInArrow(cut, "id long, grp long, fp long, norm string"), "line-texts")
     same = _verified(texts, radius, least, part_lines)
     linked = stage(candidates.join(same, "id").select("digest", "first", "root"), "linked")
     dropped = linked.join(stage(linked.groupBy("root").agg(F.min("first").alias("earliest")), "roots"), "root").where("first <> earliest").select("digest")
 
     # what stays, per document
-    kept = distinct.join(dropped, "digest", "left_anti").groupBy(*document).agg(F.collect_list("first.line").alias("_kept"))
-    full = docs.select(*[F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in names], *_identity(key, text))
-    joined = full.join(kept, ["_doc_a", "_doc_b"], "left")
-    joined = joined.withColumn("_nth", F.row_number().over(W.partitionBy("_doc_a", "_doc_b").orderBy("_doc_a")))
+    kept = distinct.join(dropped, "digest", "left_anti").groupBy(document).agg(F.collect_list("first.line").alias("_kept"))
+    joined = packed.drop("_hash", "_lines").join(kept, "_row", "left")
 
-    schema = T.StructType([joined.schema[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed") if counts])
+    kinds = {f.name: T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema.fields}
+    schema = T.StructType([kinds[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed") if counts])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in small(batches):
             get = lambda n: batch.column(batch.schema.get_field_index(n))
             out, total, removed = [], [], []
-            for value, keep, turn in zip(get(text), get("_kept"), get("_nth").to_pylist()):
-                value, keep = value.as_py(), set(keep.as_py() or ()) if turn == 1 else ()
+            for value, keep in zip(get("_packed"), get("_kept")):
+                value, keep = value.as_py(), set(keep.as_py() or ())
                 if value is None:
                     out.append(None), total.append(0), removed.append(0)
                     continue
+                value = unpack(value).decode()
                 lines = value.split("\n")
                 full_ = [k for k, line in enumerate(lines) if line and not line.isspace()]
                 gone = {k for k in full_ if k not in keep}

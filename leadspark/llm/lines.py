@@ -245,7 +245,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
 
     # their text, from the document of the first occurrence
     wanted = candidates.groupBy(document).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id", "grp", "fp")).alias("_lines"))
-    fetched = packed.select("_row", "_packed").join(wanted, "_row").select("_lines", "_packed")
+    # the lists grow with the documents, so they are never broadcast, and hashed, so that no text is sorted
+    fetched = packed.select("_row", "_packed").join(wanted.hint("shuffle_hash"), "_row").select("_lines", "_packed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -260,7 +261,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
 
     # what stays, per document
     kept = distinct.join(dropped, "digest", "left_anti").groupBy(document).agg(F.collect_list("first.line").alias("_kept"))
-    joined = packed.drop("_hash", "_lines").join(kept, "_row", "left")
+    joined = packed.drop("_hash", "_lines").join(kept.hint("shuffle_hash"), "_row", "left")
 
     kinds = {f.name: T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema.fields}
     schema = T.StructType([kinds[n] for n in names] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed") if counts])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from leadspark.llm import langid, lines, pii, simhash
 from leadspark.llm.queries import packed
-from leadspark.session import stage
+from leadspark.session import fresh_path, scratch, stage, unstage
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -61,9 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage wrote on its way, and its input, is deleted once its own table is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, f"stage-{k}")
-    return docs
+    for k, (_, function) in enumerate(STAGES[:-1]):
+        before, path = docs, fresh_path(spark, f"stage-{k}")
+        with scratch(spark):
+            docs = stage(function(spark, before, sf_dir), f"stage-{k}", path)
+        if k:
+            unstage(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="")
+
+
 def build_session(app_name: str = "leadspark", master: str | None = None, **settings: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC time; ``settings`` override."""
     builder = SparkSession.builder.appName(app_name)
@@ -38,12 +44,25 @@ def staged_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; never used twice."""
-    return f"{staged_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{staged_dir(spark)}/{_SCRATCH.get()}{name}-{uuid.uuid4().hex[:12]}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at its end; write what is to stay to a path taken before it."""
+    before = _SCRATCH.get()
+    token = _SCRATCH.set(f"{before}scratch-{uuid.uuid4().hex[:12]}/")
+    folder = f"{staged_dir(spark)}/{_SCRATCH.get()}"
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        _delete(spark, folder)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: cuts lineage and survives the loss of executors."""
-    path = fresh_path(df.sparkSession, name)
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once, to ``path`` or a fresh one, and read it back: cuts lineage and survives lost executors."""
+    path = path or fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path

@@ -5,10 +5,11 @@ are added up, running sums over the bins give every cut's gain, the best cut of
 rows (candidates, folds) share these passes: the fit is part of the key of the sums.
 
 Rows lie in partitions of at most ``ROWS`` rows. With several, Spark adds the sums of a level up over all of them, one
-job per level for all fits, the driver picks the cuts (its input is bounded by nodes, features and bins, not by rows),
-and margins are written every ``BLOCK`` trees. With one, the task that holds the rows has the whole sums already and
-goes on to the next level and tree by itself, one task per fit. Gradients are multiples of 2**-24, so sums of doubles
-are exact and both ways grow the same trees.
+job per level for all fits: sums are shuffled by groups of nodes, the task that adds up a group picks the cuts of its
+nodes, and only those reach the driver. Gradients are worked out once per tree and kept with the rows between the jobs;
+margins are written every ``BLOCK`` trees. With one partition, the task that holds the rows has the whole sums already
+and goes on to the next level and tree by itself, one task per fit. Gradients are multiples of 2**-24, so sums of
+doubles are exact and both ways grow the same trees.
 
 Kinds: ``forest`` (weighted Gini, bootstrap counts, features drawn per node), ``first`` (boosting by least squares on
 residuals, one Newton step per leaf), ``second`` (gradients and Hessians, a ridge on leaf values, features drawn per tree).
@@ -24,18 +25,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
+from pyspark.rdd import RDD
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadspark.session import fresh_path, stage, unstage
+from leadspark.session import delete_path, fresh_path, stage
 
 # The functions below travel to the executors by value, so those need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS = 1 << 18  # rows of a partition
+LEAST = 1 << 13  # rows of a partition that is not split any further to keep all cores busy
+NODES = 8  # nodes of a level whose sums travel together
 BINS = 128
 BLOCK = 10  # trees between two writes of the margins
 SHARED = 16  # trees of a forest that grow together
@@ -75,13 +79,18 @@ class Tree:
 
     def descend(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node of each row after so many levels, or the leaf above."""
-        node = np.zeros(len(bins), dtype=np.int32)
-        every = np.arange(len(bins))
-        for _ in range(levels):
-            feature = self.feature[node]
-            right = bins[every, feature] > self.cut[node]
-            node = np.where(feature < 0, node, 2 * node + 1 + right)
-        return node
+        return descend(self.feature, self.cut, bins, levels)
+
+
+def descend(features: np.ndarray, cuts: np.ndarray, bins: np.ndarray, levels: int) -> np.ndarray:
+    """As of a tree, of whose arrays only the nodes above the last level are read."""
+    node = np.zeros(len(bins), dtype=np.int32)
+    every = np.arange(len(bins))
+    for _ in range(levels):
+        feature = features[node]
+        right = bins[every, feature] > cuts[node]
+        node = np.where(feature < 0, node, 2 * node + 1 + right)
+    return node
 
 
 # --- one level ------------------------------------------------------------------------------------
@@ -122,24 +131,24 @@ def candidates(spec: Spec, tree: int, level: int, n_features: int) -> np.ndarray
 
 def level_sums(bins: np.ndarray, place: np.ndarray, features: np.ndarray, g: np.ndarray, h: np.ndarray, n_bins: int) -> np.ndarray:
     """(3, nodes, features, bins): sums of gradients, Hessians and rows; ``place`` is the node within the level."""
-    k = features.shape[1]
-    cell = (place[:, None] * k + np.arange(k)) * n_bins + np.take_along_axis(bins, features[place], axis=1)
-    cell, shape = cell.ravel(), (len(features), k, n_bins)
-    size = len(features) * k * n_bins
-    return np.stack([np.bincount(cell, np.repeat(x, k) if x is not None else None, size).reshape(shape) for x in (g, h, None)])
+    nodes, k = features.shape
+    out = np.empty((3, nodes, k, n_bins))
+    every, base = np.arange(len(place)), place * n_bins
+    for j, own in enumerate(features.T):
+        cell = base + (bins[:, own[0]] if (own == own[0]).all() else bins[every, own[place]])
+        for sums, x in zip(out, (g, h, None)):
+            sums[:, j] = np.bincount(cell, x, nodes * n_bins).reshape(nodes, n_bins)
+    return out
 
 
 def weigh(spec: Spec, h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return n if spec.kind == "first" else h + spec.ridge
 
 
-def grow_level(tree: Tree, spec: Spec, level: int, features: np.ndarray, sums: np.ndarray) -> bool:
-    """Split the nodes of a level where that gains, and give their children their sums; whether any was split."""
-    first = 2**level - 1
+def best_cuts(spec: Spec, features: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of nodes with these sums those worth a split: place, feature, cut, gain, sums of the left and of the right rows."""
     upto = sums.cumsum(axis=-1)
     whole = upto[..., -1:]
-    if level == 0:
-        tree.sums[:, 0] = whole[:, 0, 0, 0]
     left = upto[..., :-1]
     right = whole - left
     (gl, hl, nl), (gr, hr, nr), (g, h, n) = left, right, whole
@@ -151,11 +160,22 @@ def grow_level(tree: Tree, spec: Spec, level: int, features: np.ndarray, sums: n
     best = flat.argmax(axis=1)
     split = np.flatnonzero(flat[np.arange(len(best)), best] > 1e-9)
     slot, cut = np.divmod(best[split], gain.shape[-1])
-    nodes = first + split
-    tree.feature[nodes], tree.cut[nodes] = features[split, slot], cut
-    tree.gain[nodes] = flat[split, best[split]]
-    tree.sums[:, 2 * nodes + 1] = left[:, split, slot, cut]
-    tree.sums[:, 2 * nodes + 2] = right[:, split, slot, cut]
+    return split, features[split, slot], cut, flat[split, best[split]], left[:, split, slot, cut], right[:, split, slot, cut]
+
+
+def split_nodes(tree: Tree, nodes: np.ndarray, feature: np.ndarray, cut: np.ndarray, gain: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+    """Write what ``best_cuts`` found for nodes of the tree, and give their children their sums."""
+    tree.feature[nodes], tree.cut[nodes], tree.gain[nodes] = feature, cut, gain
+    tree.sums[:, 2 * nodes + 1] = left
+    tree.sums[:, 2 * nodes + 2] = right
+
+
+def grow_level(tree: Tree, spec: Spec, level: int, features: np.ndarray, sums: np.ndarray) -> bool:
+    """Split the nodes of a level where that gains, and give their children their sums; whether any was split."""
+    if level == 0:
+        tree.sums[:, 0] = sums[:, 0, 0].sum(axis=-1)
+    split, *found = best_cuts(spec, features, sums)
+    split_nodes(tree, 2**level - 1 + split, *found)
     return len(split) > 0
 
 
@@ -282,100 +302,157 @@ def _in_tasks(data: Binned, specs: Sequence[Spec]) -> list[list[Tree]]:
     return out
 
 
+def _blocks(data: Binned, margins: Sequence[float]) -> RDD:
+    """The rows as arrays, a partition in blocks of at most ``ROWS`` rows: key, label, part, bins, margins per boosted fit
+    and, for the trees that grow, which rows take part with their gradients and Hessians."""
+    n_features, n_rows = len(data.cuts), sum(data.counts.values())
+    cores = data.rows.sparkSession.sparkContext.defaultParallelism
+    # whole rounds of tasks, if the rows are worth it
+    tasks = max(data.partitions, min(-(-data.partitions // cores) * cores, n_rows // LEAST))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(parts: list) -> pa.RecordBatch:
+            key, y, part, bins = (np.concatenate(c) for c in zip(*parts))
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((key, y, part, bins))], type=pa.binary())], names=["block"])
+
+        parts, n = [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(start, ROWS)
+                if n + rows.num_rows > ROWS:
+                    yield block(parts)
+                    parts, n = [], 0
+                parts.append(arrays(rows, n_features))
+                n += rows.num_rows
+        if parts:
+            yield block(parts)
+
+    def unpack(row) -> tuple:
+        key, y, part, bins = pickle.loads(row["block"])
+        return key, y, part, bins, np.repeat(np.array(margins, dtype=float)[:, None], len(y), axis=1), []
+
+    return data.rows.repartition(tasks, "key").mapInArrow(pack, "block binary").rdd.map(unpack)
+
+
 def _by_levels(data: Binned, specs: Sequence[Spec]) -> list[list[Tree]]:
-    """Rows in many partitions: a job per level adds up the sums of all fits."""
+    """Rows in many partitions: a job per level adds up the sums of all fits and picks the cuts."""
+    spark = data.rows.sparkSession
     starts = [data.start(s) for s in specs]
     n_features, n_bins = len(data.cuts), data.n_bins
+    cores = spark.sparkContext.defaultParallelism
     grown: list[list[Tree]] = [[] for _ in specs]
     boosted = [k for k, s in enumerate(specs) if s.kind != "forest"]
-    margins = F.array(*[F.lit(starts[k][0]) for k in boosted]) if boosted else F.array().cast("array<double>")
-    rows = stage(data.rows.withColumn("margins", margins).repartition(data.partitions, "key"), "margins")
-
-    def sums_of(level: int, growing: list[tuple[int, int, Tree]], since: list[list[Tree]]) -> dict[int, np.ndarray]:
-        """For each growing (fit, number, tree) the sums of its level over all rows; ``since``: trees not in the margins."""
-        choices = [candidates(specs[k], t, level, n_features) for k, t, _ in growing]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = [None] * len(growing)
-            for batch in batches:
-                key, y, part, bins = arrays(batch, n_features)
-                kept = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(boosted))
-                for u, (k, t, tree) in enumerate(growing):
-                    spec = specs[k]
-                    margin = np.zeros(len(y))
-                    if spec.kind != "forest":
-                        margin = kept[:, boosted.index(k)].copy()
-                        for done in since[k]:
-                            margin += done.value[done.descend(bins, spec.depth)]
-                    weights = starts[k][1]
-                    g, h, taken = gradients(spec, t, key, y, np.where(y > 0, weights[1], weights[0]), margin)
-                    place = tree.descend(bins, level) - (2**level - 1)
-                    use = np.flatnonzero(taken & (part != spec.held) & (place >= 0))
-                    s = level_sums(bins[use], place[use], choices[u], g[use], h[use], n_bins)
-                    total[u] = s if total[u] is None else total[u] + s
-            for u, s in enumerate(total):
-                if s is not None:
-                    flat = s.reshape(3, -1)
-                    cell = np.flatnonzero(flat[2])
-                    columns = [np.full(len(cell), u), cell, flat[0][cell], flat[1][cell], flat[2][cell]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["unit", "cell", "g", "h", "n"])
-
-        added = rows.mapInArrow(run, "unit long, cell long, g double, h double, n double").groupBy("unit", "cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
-        table = added.toArrow().to_pydict()  # bounded by fits, nodes, features and bins
-        unit, cell = np.array(table["unit"], dtype=int), np.array(table["cell"], dtype=int)
-        out = {}
-        for u, features in enumerate(choices):
-            flat = np.zeros((3, features.size * n_bins))
-            mine = unit == u
-            for row, c in zip(flat, "ghn"):
-                row[cell[mine]] = np.array(table[c], dtype=float)[mine]
-            out[u] = flat.reshape(3, *features.shape, n_bins)
-        return out
-
-    def grow_together(batch: list[tuple[int, int]], since: list[list[Tree]]) -> None:
-        growing = [(k, t, Tree(specs[k].depth)) for k, t in batch]
-        active = list(growing)
+    rows = _blocks(data, [starts[k][0] for k in boosted]).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def begin(rows: RDD, batch: list[tuple[int, int]], last: dict[int, tuple]) -> RDD:
+        """The rows with the gradients of the next trees, after ``last`` of a fit is added to its margins."""
+        def run(block: tuple) -> tuple:
+            key, y, part, bins, margins, _ = block
+            for at, (feature, cut, value, depth) in last.items():
+                margins[at] += value[descend(feature, cut, bins, depth)]
+            work = []
+            for k, t in batch:
+                spec, (_, weights) = specs[k], starts[k]
+                margin = margins[boosted.index(k)] if spec.kind != "forest" else np.zeros(len(y))
+                g, h, taken = gradients(spec, t, key, y, np.where(y > 0, weights[1], weights[0]), margin)
+                use = np.flatnonzero(taken & (part != spec.held))
+                work.append((use.astype(np.int32), g[use], h[use]))
+            return key, y, part, bins, margins, work
+
+        return rows.map(run)
+
+    def cuts_of(rows: RDD, level: int, active: list[tuple[int, int, int, Tree]]) -> list[tuple]:
+        """Per group of nodes of the active (place in the batch, fit, number, tree) its best cuts and the sums of its first node."""
+        inner = 2**level - 1
+        groups = -(-(2**level) // NODES)
+        units = [(u, specs[k], t, tree.feature[:inner], tree.cut[:inner]) for u, k, t, tree in active]
+
+        def add(blocks: Iterator[tuple]) -> Iterator[tuple]:
+            for *_, bins, _, work in blocks:
+                for at, (u, spec, t, feature, cut) in enumerate(units):
+                    use, g, h = work[u]
+                    own = bins[use]
+                    place = descend(feature, cut, own, level).astype(np.int64) - inner
+                    inside = place >= 0
+                    if not inside.all():
+                        own, place, g, h = own[inside], place[inside], g[inside], h[inside]
+                    sums = level_sums(own, place, candidates(spec, t, level, n_features), g, h, n_bins)
+                    for group in range(groups):
+                        flat = sums[:, group * NODES : (group + 1) * NODES].reshape(3, -1)
+                        cell = np.flatnonzero(flat[2])
+                        if len(cell):
+                            yield at * groups + group, (cell.astype(np.int32), flat[:, cell])
+
+        def pick(parts: Iterator[tuple]) -> Iterator[tuple]:
+            total: dict[int, np.ndarray] = {}
+            for number, (cell, values) in parts:
+                at, group = divmod(number, groups)
+                if number not in total:
+                    features = candidates(units[at][1], units[at][2], level, n_features)[group * NODES : (group + 1) * NODES]
+                    total[number] = np.zeros((3, *features.shape, n_bins))
+                total[number].reshape(3, -1)[:, cell] += values
+            for number, sums in total.items():
+                at, group = divmod(number, groups)
+                spec, t = units[at][1:3]
+                features = candidates(spec, t, level, n_features)[group * NODES : (group + 1) * NODES]
+                split, *found = best_cuts(spec, features, sums)
+                yield at, (inner + group * NODES + split, *found), sums[:, 0, 0].sum(axis=-1)
+
+        numbered = rows.mapPartitions(add).partitionBy(min(cores, len(units) * groups), lambda number: number)
+        return numbered.mapPartitions(pick).collect()  # bounded by fits and nodes
+
+    def grow_together(rows: RDD, batch: list[tuple[int, int]]) -> None:
+        growing = [(u, k, t, Tree(specs[k].depth)) for u, (k, t) in enumerate(batch)]
+        active = growing
         for level in range(max(specs[k].depth for k, _ in batch)):
-            active = [(k, t, tree) for k, t, tree in active if level < specs[k].depth]
+            active = [a for a in active if level < specs[a[1]].depth]
             if not active:
                 break
-            found = sums_of(level, active, since)
-            active = [a for u, a in enumerate(active) if grow_level(a[2], specs[a[0]], level, candidates(specs[a[0]], a[1], level, n_features), found[u])]
-        for k, _, tree in growing:
+            split = set()
+            for at, (nodes, *found), root in cuts_of(rows, level, active):
+                tree = active[at][3]
+                if level == 0:
+                    tree.sums[:, 0] = root
+                split_nodes(tree, nodes, *found)
+                if len(nodes):
+                    split.add(at)
+            active = [a for at, a in enumerate(active) if at in split]
+        for _, k, _, tree in growing:
             grown[k].append(close(tree, specs[k]))
 
     for k, spec in enumerate(specs):
         if spec.kind == "forest":
             for t in range(0, spec.trees, SHARED):
-                grow_together([(k, x) for x in range(t, min(t + SHARED, spec.trees))], [])
-    since: list[list[Tree]] = [[] for _ in specs]
+                batch = [(k, x) for x in range(t, min(t + SHARED, spec.trees))]
+                begun = begin(rows, batch, {}).persist(StorageLevel.MEMORY_AND_DISK)
+                grow_together(begun, batch)
+                begun.unpersist()
+    last: dict[int, tuple] = {}
+    written = None
     for t in range(max((specs[k].trees for k in boosted), default=0)):
-        grow_together([(k, t) for k in boosted if t < specs[k].trees], since)
-        for k in boosted:
-            if t < specs[k].trees:
-                since[k].append(grown[k][-1])
-        if (t + 1) % BLOCK == 0:
-            written = stage(_advance(rows, [since[k] for k in boosted], [specs[k].depth for k in boosted], n_features), "margins")
-            unstage(rows)
-            rows, since = written, [[] for _ in specs]
-    unstage(rows)
+        batch = [(k, t) for k in boosted if t < specs[k].trees]
+        begun = begin(rows, batch, last).persist(StorageLevel.MEMORY_AND_DISK)
+        if t and t % BLOCK == 0:  # what was done since is not to be done again if an executor is lost
+            path = fresh_path(spark, "margins")
+            begun.saveAsPickleFile(path, 1)
+            kept = spark.sparkContext.pickleFile(path).persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            path, kept = None, begun
+        grow_together(kept, batch)
+        rows.unpersist()
+        if path:
+            begun.unpersist()
+            if written:
+                delete_path(spark, written)
+            written = path
+        rows = kept
+        last = {at: (tree.feature, tree.cut, tree.value, specs[k].depth) for at, k in enumerate(boosted) if t < specs[k].trees for tree in (grown[k][-1],)}
+    rows.unpersist()
+    if written:
+        delete_path(spark, written)
     return grown
 
 
-def _advance(rows: DataFrame, trees: list[list[Tree]], depths: list[int], n_features: int) -> DataFrame:
-    """Add what the trees say to the margins."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = arrays(batch, n_features)[3]
-            kept = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(trees)).copy()
-            for k, (done, depth) in enumerate(zip(trees, depths)):
-                for tree in done:
-                    kept[:, k] += tree.value[tree.descend(bins, depth)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(kept), type=pa.list_(pa.float64()))], names=batch.schema.names)
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def fit_trees(data: Binned, specs: Sequence[Spec]) -> list[list[Tree]]:
     """The trees of every fit; a constant label or no rows give trees of one leaf."""
     return (_in_tasks if data.partitions == 1 else _by_levels)(data, specs)
@@ -384,7 +461,7 @@ def fit_trees(data: Binned, specs: Sequence[Spec]) -> list[list[Tree]]:
 def predict_held(data: Binned, specs: Sequence[Spec], fitted: list[list[Tree]]) -> DataFrame:
     """(fold, converted, prediction): each row by the fit that left its part out."""
     n_features = len(data.cuts)
-    by_part = {s.held: (s, trees, data.start(s)[0]) for s, trees in zip(specs, fitted)}
+    by_part = {s.held: (s, [(t.feature, t.cut, t.value) for t in trees], data.start(s)[0]) for s, trees in zip(specs, fitted)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,7 +469,8 @@ def predict_held(data: Binned, specs: Sequence[Spec], fitted: list[list[Tree]])
             says = np.zeros(len(y), dtype=np.int32)
             for held, (spec, trees, odds) in by_part.items():
                 at = np.flatnonzero(part == held)
-                total = sum((t.value[t.descend(bins[at], spec.depth)] for t in trees), np.zeros(len(at)))
+                own = bins[at]
+                total = sum((value[descend(feature, cut, own, spec.depth)] for feature, cut, value in trees), np.zeros(len(at)))
                 says[at] = total / len(trees) > 0.5 if spec.kind == "forest" else odds + total > 0
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(says)], names=["fold", "converted", "prediction"])
 

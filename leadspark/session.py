@@ -57,7 +57,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.reset(token)
-        _delete(spark, folder)
+        delete_path(spark, folder)
 
 
 def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -69,16 +69,17 @@ def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_path(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared one, once nothing that reads it is left to run."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unstage(df: DataFrame) -> None:
     """Delete the table that ``stage`` wrote for ``df``, once nothing that reads it is left to run."""
-    _delete(df.sparkSession, df.staged_path)
+    delete_path(df.sparkSession, df.staged_path)
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete every staged table of this application; call it once nothing that reads them is left to run."""
-    _delete(spark, staged_dir(spark))
+    delete_path(spark, staged_dir(spark))

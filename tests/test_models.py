@@ -106,6 +106,22 @@ def test_trees_do_not_depend_on_partitions(separable):
     assert found == first
 
 
+def test_the_driver_gets_cuts_and_no_sums(separable, monkeypatch):
+    """What a level sends to the driver grows with its nodes, not with features, bins or rows."""
+    from pyspark import RDD
+    from pyspark.sql import DataFrame
+
+    data = trees.bin_rows(vectors_of(separable.repartition(3)).withColumn("fold", F.lit(0)), len(FEATURES), part="fold", rows=100)
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: pytest.fail("sums reach the driver"))
+    monkeypatch.setattr(RDD, "collect", lambda rdd: sent.append(collect(rdd)) or sent[-1])
+    found = trees.fit_trees(data, SPECS[:3])
+    assert sum(len(fit) for fit in found) == 25 and sent
+    nodes = sum(int((t.feature >= 0).sum()) for fit in found for t in fit)
+    numbers = sum(np.size(x) for level in sent for _, cuts, root in level for x in (*cuts, root))
+    assert numbers <= 10 * nodes + 3 * sum(len(level) for level in sent)
+
+
 def brute_tree(spec, bins, g, h):
     """(gain, feature, cut) of the root by trying every cut."""
     n = np.ones(len(g))

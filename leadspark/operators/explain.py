@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -16,7 +18,7 @@ from leadspark.constants import (
     FEATURE_LABELS, FEATURES, FUNNEL_ORDER, MODERATE_FROM, NEGATIVE_TEXT, NO_POSITIVE_TEXT, POSITIVE_TEXT, SCORE_TEXT, STAGE_TEXT, STRONG_FROM,
 )
 from leadspark.functions.scalars import filled, lookup, number_text, percent_text
-from leadspark.session import fresh_path
+from leadspark.session import fresh_path, stage
 
 CONTRIBUTIONS = [f"c_{f}" for f in FEATURES]
 
@@ -241,8 +243,18 @@ def tree_contributions(model: PipelineModel, rows: DataFrame, batch: int = 4096)
                 phi = shapley(different, shipped.value)[place.ravel()]
                 yield pd.concat([part[carried].reset_index(drop=True), pd.DataFrame(phi, columns=CONTRIBUTIONS)], axis=1)
 
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"{c} double" for c in CONTRIBUTIONS])
-    # a row costs a look at every leaf, so a small table is spread over the cores as well
-    spread = numbered.select(*carried, "source_number").repartition(rows.sparkSession.sparkContext.defaultParallelism)
-    out = (numbered.select(*carried, "source_number") if rows.isStreaming else spread).mapInPandas(contribute, fields)
+    wanted = numbered.select(*carried, "source_number")
+    types = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
+    if rows.isStreaming:
+        out = wanted.mapInPandas(contribute, ", ".join([f"`{c}` {types[c]}" for c in carried] + [f"{c} double" for c in CONTRIBUTIONS]))
+        return out.withColumn("base_value", F.lit(base)).withColumn("space", F.lit("probability" if classifies else "margin"))
+    # equal rows are explained once, wherever they lie; a row costs a look at every leaf, so a small table is spread over the cores as well
+    wanted = stage(wanted, "to-explain")
+    carried = inputs
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    different = wanted.select(*inputs).distinct().repartition(cores * 4)
+    fields = ", ".join([f"`{c}` {types[c]}" for c in inputs] + [f"{c} double" for c in CONTRIBUTIONS])
+    found = stage(different.mapInPandas(contribute, fields), "contributions")
+    same = reduce(and_, [F.col(f"w.{c}").eqNullSafe(F.col(f"d.{c}")) for c in inputs])
+    out = wanted.alias("w").join(found.alias("d"), same).select(*[F.col(f"w.{c}") for c in rows.columns], *[F.col(f"d.{c}") for c in CONTRIBUTIONS])
     return out.withColumn("base_value", F.lit(base)).withColumn("space", F.lit("probability" if classifies else "margin"))

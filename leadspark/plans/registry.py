@@ -327,14 +327,16 @@ def _fitted_explanations(t: LeadTables, name: str) -> DataFrame:
 def fitted_factors(t: LeadTables, name: str) -> DataFrame:
     """The ranked factors of a fitted model for every lead: whether each is a feature with the lead's own value, has the
     direction of its sign and a contribution no larger than the one above."""
-    rows = _fitted_explanations(t, name)
-    factors = explain.factor_rows(rows)
-    own = rows.select("lead_id", F.explode(F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f).cast("string") if f == "source" else number_text(f))])).alias("feature", "own"))
-    above = F.lag(F.abs("contribution")).over(W.partitionBy("lead_id").orderBy("factor_rank"))
-    return factors.withColumn("above", above).join(own, ["lead_id", "feature"]).select(
-        "lead_id", "factor_rank", (F.col("value") == F.col("own")).alias("own_value"),
-        F.when(F.abs("contribution") < 1e-4, True).otherwise((F.col("contribution") > 0) == (F.col("direction") == "increases")).alias("direction_follows"),
-        F.coalesce(F.abs("contribution") <= F.col("above"), F.lit(True)).alias("ranked"),
+    rows = _fitted_explanations(t, name).where("lead_id IS NOT NULL")
+    own = F.create_map(*[x for f in FEATURES for x in (F.lit(f), F.col(f).cast("string") if f == "source" else number_text(f))])
+    # the factor above stands in the same row: nothing is joined or shuffled
+    long = rows.select("lead_id", "top_factors", own.alias("own"), F.posexplode("top_factors").alias("pos", "f"))
+    above = F.abs(F.try_element_at("top_factors", F.when(F.col("pos") > 0, F.col("pos")))["contribution"])
+    contribution = F.col("f.contribution")
+    return long.select(
+        "lead_id", (F.col("pos") + 1).alias("factor_rank"), (F.col("f.value") == F.try_element_at("own", F.col("f.feature"))).alias("own_value"),
+        F.when(F.abs(contribution) < 1e-4, True).otherwise((contribution > 0) == (F.col("f.direction") == "increases")).alias("direction_follows"),
+        F.coalesce(F.abs(contribution) <= above, F.lit(True)).alias("ranked"),
     )
 
 

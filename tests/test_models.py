@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from leadspark.constants import FEATURES
 from leadspark.operators import encode, explain, logistic, metrics, models, scoring, trees
-from leadspark.session import fresh_path
+from leadspark.plans import registry
+from leadspark.session import fresh_path, stage
 from leadspark.sources import csv, sinks
 from leadspark.streaming import scoring as streaming
 
@@ -360,6 +361,52 @@ def test_tree_contributions_add_up(trained, which):
     assert set(rows["space"]) == {"probability" if which == 1 else "margin"}
 
 
+def test_equal_rows_are_explained_once(trained, monkeypatch):
+    """Copies of a row in any partition cost one look at the leaves, and all get the row's contributions."""
+    staged, stage = {}, explain.stage
+    monkeypatch.setattr(explain, "stage", lambda df, name: staged.setdefault(name, stage(df, name)))
+    rows = models.score(trained.candidates[1].model, trained.rows.limit(20)).drop("lead_id")
+    copies = rows.crossJoin(rows.sparkSession.range(30).withColumnRenamed("id", "lead_id")).repartition(7)
+    found = explain.tree_contributions(trained.candidates[1].model, copies)
+    assert found.count() == 600 and staged["contributions"].count() <= 20
+    total = sum((F.col(c) for c in explain.CONTRIBUTIONS), F.col("base_value"))
+    assert found.where(F.abs(total - F.col("probability_1")) > 1e-6).count() == 0
+
+
+def joins_of(df):
+    import re
+
+    return re.findall("BroadcastHashJoin|SortMergeJoin|ShuffledHashJoin|Exchange", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_factors_need_no_join(spark, trained, monkeypatch):
+    """A lead's factors and own values stand in one row; a join of compressed tables filled the driver with a broadcast."""
+    rows = explain.explained(explain.logistic_contributions(trained.candidates[0].model, models.score(trained.candidates[0].model, trained.rows)))
+    rows = stage(rows.unionByName(rows.limit(1).withColumn("lead_id", F.lit(None).cast(rows.schema["lead_id"].dataType))), "explained")
+    monkeypatch.setattr(registry, "_fitted_explanations", lambda t, name: rows)
+    found = registry.fitted_factors(None, models.LOGISTIC)
+    assert joins_of(found) == []
+    n = trained.rows.count()
+    assert found.count() == 5 * n and found.where("own_value AND direction_follows AND ranked").count() == 5 * n
+    assert {r["factor_rank"] for r in found.collect()} == {1, 2, 3, 4, 5}
+    reversed_rows = rows.where("lead_id IS NOT NULL").withColumn("top_factors", F.reverse("top_factors"))
+    monkeypatch.setattr(registry, "_fitted_explanations", lambda t, name: reversed_rows)
+    assert registry.fitted_factors(None, models.LOGISTIC).where("NOT ranked").count() > 0
+
+
+def test_roundtrip_needs_no_join(trained, monkeypatch):
+    monkeypatch.setattr(registry, "_saved_forest", lambda t: (trained, trained.best, {}))
+    found = registry.model_roundtrip(None)
+    assert joins_of(found) == [] and found.columns == ["lead_id", "same"]
+    assert found.count() == found.where("same").count() == trained.rows.count()
+
+
+def test_streamed_scores_are_not_broadcast(spark, trained, monkeypatch):
+    monkeypatch.setattr(registry, "_train", lambda t, names=None: trained)
+    found = registry.score_stream(registry.read_tables(spark, "/root/testdata/sf0.001"))
+    assert set(joins_of(found)) == {"SortMergeJoin", "Exchange"}
+
+
 def test_logistic_contributions_add_up(trained):
     model = trained.candidates[0].model
     rows = explain.logistic_contributions(model, models.score(model, trained.test)).toPandas()

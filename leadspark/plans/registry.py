@@ -200,9 +200,8 @@ def _saved_forest(t: LeadTables) -> tuple[models.Training, models.Candidate, dic
 def model_roundtrip(t: LeadTables) -> DataFrame:
     """For every row whether a model gives the same probability before saving and after loading."""
     trained, loaded, _ = _saved_forest(t)
-    before = models.score(trained.best.model, trained.rows).select("lead_id", F.col("probability_1").alias("before"))
-    after = models.score(loaded.model, trained.rows).select("lead_id", F.col("probability_1").alias("after"))
-    return before.join(after, "lead_id").select("lead_id", (F.col("before") == F.col("after")).alias("same"))
+    before = models.score(trained.best.model, trained.rows.where("lead_id IS NOT NULL")).select("lead_id", *FEATURES, F.col("probability_1").alias("before"))
+    return models.score(loaded.model, before).select("lead_id", (F.col("before") == F.col("probability_1")).alias("same"))
 
 
 def banded(scored: DataFrame) -> DataFrame:

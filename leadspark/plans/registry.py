@@ -279,8 +279,9 @@ def score_stream(t: LeadTables) -> DataFrame:
     batch = scoring.batch_score(trained.best.model, scoring.accepted_requests(requests, models.source_values(trained.best.model)))
     batch = batch.select("lead_id", F.struct(*scoring.BANDS).alias("batch"))
     arrived = spark.read.parquet(out)
-    same = arrived.join(batch, "lead_id").select("lead_id", (F.struct(*scoring.BANDS) == F.col("batch")).alias("same_as_batch"))
-    return banded(arrived).join(same, "lead_id")
+    # sizes of files, compressed, say little of rows: never broadcast
+    same = arrived.join(batch.hint("merge"), "lead_id").select("lead_id", (F.struct(*scoring.BANDS) == F.col("batch")).alias("same_as_batch"))
+    return banded(arrived).join(same.hint("merge"), "lead_id")
 
 
 def alerts_of_stream(t: LeadTables) -> DataFrame:

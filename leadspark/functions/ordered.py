@@ -40,8 +40,8 @@ def running_totals(
     """Add ``cum_<s>`` (running) and ``all_<s>`` (whole) for each column ``s`` of ``sums``.
 
     ``df`` is a staged table with one row per (by, value), ``by`` being a small closed set such as a
-    class label. The totals per bucket are at most ``buckets`` rows per group, which Spark broadcasts if
-    they are small.
+    class label. The totals per bucket are at most ``buckets`` rows per group and are broadcast: left to itself, Spark
+    may broadcast the rows, whose files compress well.
     """
     by = list(by)
     order = F.desc if descending else F.asc
@@ -58,7 +58,7 @@ def running_totals(
     for b in by:
         same = same & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
     inside = W.partitionBy(*by, "bucket").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
-    return rows.join(totals, same).select(
+    return rows.join(F.broadcast(totals), same).select(
         *df.columns,
         *[(F.col(f"_before_{s}") + F.sum(s).over(inside)).alias(f"cum_{s}") for s in sums],
         *[f"all_{s}" for s in sums],
@@ -135,7 +135,8 @@ def hash_ranks(df: DataFrame, key: str, stratum: str, seed: int, digits: int = 3
         F.sum("_m").over(W.partitionBy(stratum)).alias("n_class"),
     )
     inside = W.partitionBy(stratum, "_p").orderBy("_h", key)
-    return rows.join(offsets, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).select(
+    # at most 16**digits rows per stratum; rows, however small their files, are never broadcast
+    return rows.join(F.broadcast(offsets), F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q"))).select(
         *df.columns, (F.col("_before") + F.row_number().over(inside)).alias("rn"), "n_class"
     )
 
@@ -157,8 +158,9 @@ def hash_cut(df: DataFrame, key: str, stratum: str, seed: int, share: float, acc
         F.col("_s").alias("_t"), F.round(F.col("_n") * share).cast("long").alias("_want"), F.when(few, 0.0).otherwise(F.col("_m")[0]).alias("_lo"),
         F.when(few, 2.0**53).otherwise(F.col("_m")[1]).alias("_hi"),
     )
-    met = rows.join(brackets, F.col("_s").eqNullSafe(F.col("_t")))
+    # one row per stratum; rows, however small their files, are never broadcast
+    met = rows.join(F.broadcast(brackets), F.col("_s").eqNullSafe(F.col("_t")))
     below = met.groupBy(F.col("_s").alias("_b")).agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"))
     inside = met.where("_x >= _lo AND _x <= _hi").withColumn("_rn", F.row_number().over(W.partitionBy("_s").orderBy("_h", "_key")))
-    found = inside.join(below, F.col("_s").eqNullSafe(F.col("_b"))).where("_rn + _below = _want")
+    found = inside.join(F.broadcast(below), F.col("_s").eqNullSafe(F.col("_b"))).where("_rn + _below = _want")
     return found.select(F.col("_s").alias(stratum), F.col("_h").alias("hash"), F.col("_key").alias(key))

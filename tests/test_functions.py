@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadspark.functions import ordered, scalars, stats
+from leadspark.session import stage
 
 
 def one(spark, column, row="1 AS x"):
@@ -128,3 +129,13 @@ def test_kernel_density_against_the_formula(spark):
     for r in rows:
         want = np.mean(np.exp(-0.5 * ((r["x"] - np.array(x)) / h) ** 2)) / (h * np.sqrt(2 * np.pi))
         assert r["density"] == pytest.approx(want, abs=1e-6)
+
+
+def test_rows_are_never_broadcast(spark):
+    """Tables of a few rows per stratum or bucket are the side that is sent, not the rows, whose files may be small."""
+    rows = stage(spark.range(5000).select(F.col("id").alias("lead_id"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 7).alias("score")), "rows")
+    for found in (
+        ordered.hash_cut(rows, "lead_id", "y", 42, 0.2), ordered.hash_ranks(rows, "lead_id", "y", 42), ordered.running_totals(rows, "score", ["lead_id"], ["y"]),
+    ):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan

@@ -22,7 +22,7 @@ from leadspark.streaming import alerts
 from leadspark.streaming import scoring as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
-STREAM_FILES = 4
+STREAM_BATCHES = 4
 MEASURES = ["accuracy", "precision", "recall", "f1", "auc_roc"]
 
 # What was fitted in this session: (application, data, what) to the fit. Queries over the same data share fits.
@@ -289,8 +289,10 @@ def alerts_of_stream(t: LeadTables) -> DataFrame:
     spark = t.leads.sparkSession
     inbox, out, log = (fresh_path(spark, name) for name in ("events-in", "alerts", "alerts-log"))
     columns = t.interactions.select("interaction_id", "lead_id", "page_name", "ts")
-    columns.repartition(STREAM_FILES, F.xxhash64("interaction_id")).write.parquet(inbox)
-    stream = streaming.read_feature_stream(spark, inbox, columns.schema, files_per_trigger=1)
+    # every batch is written and read by all cores
+    cores = spark.sparkContext.defaultParallelism
+    columns.repartition(STREAM_BATCHES * cores, F.xxhash64("interaction_id")).write.parquet(inbox)
+    stream = streaming.read_feature_stream(spark, inbox, columns.schema, files_per_trigger=cores)
     # no event is late, as every file holds events of the whole time
     alerts.write_alerts(alerts.pricing_alerts(stream, delay="36500 days"), out, log).awaitTermination()
     return alerts.current_alerts(spark, out)

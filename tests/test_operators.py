@@ -259,3 +259,32 @@ def test_alerts_are_corrected_and_expire(spark, tmp_path):
         found.append({r.lead_id: (r.interaction_id, r.alert_at.day) for r in alerts.current_alerts(spark, out).collect()})
     # the last file's view of day 2 is more than ten days behind day 20
     assert found == [{7: (3, 5)}, {7: (2, 4)}, {7: (2, 4), 8: (7, 20)}]
+
+
+def test_alerts_call_python_once_for_many_leads(spark, monkeypatch):
+    """Leads are followed by groups, whatever their number, with the alerts and revisions that each has by itself."""
+    import datetime
+
+    from leadspark.session import fresh_path
+    from leadspark.streaming import alerts
+    from leadspark.streaming.scoring import read_feature_stream
+
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(10 * lead + k, str(lead), "Pricing", start + datetime.timedelta(hours=(k * 7 + lead) % 10)) for lead in range(60) for k in range(lead % 7)]
+    inbox, out, log = (fresh_path(spark, n) for n in ("alerts-in", "alerts-out", "alerts-log"))
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], "interaction_id long, lead_id string, page_name string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(inbox)
+    stream = read_feature_stream(spark, inbox, spark.read.parquet(inbox).schema, files_per_trigger=1)
+    grouped = alerts.pricing_alerts(stream, delay="36500 days", groups=4)
+    alerts.write_alerts(grouped, out, log).awaitTermination()
+    got = {r.lead_id: r.interaction_id for r in alerts.current_alerts(spark, out).collect()}
+    want = {}
+    for lead in range(60):
+        views = sorted((ts, i) for i, x, _, ts in rows if x == str(lead))
+        if len(views) >= 3:
+            want[str(lead)] = views[2][1]
+    assert got == want and len(want) == 33
+    told = spark.read.parquet(out).groupBy("lead_id").agg(F.count("*").alias("n"), F.max("revision").alias("last"), F.min("revision").alias("first")).collect()
+    assert all(r.n == r.last and r["first"] == 1 for r in told) and any(r.n > 1 for r in told)
+    plan = grouped._jdf.queryExecution().analyzed().toString()
+    assert "group#" in plan.split("FlatMapGroupsInPandasWithState")[1].splitlines()[0]

@@ -190,6 +190,15 @@ def interaction_features(interactions: DataFrame | None, activity: DataFrame | N
     return add_logs(add_ratios(filled)).select("lead_id", "is_converted", *ENGINEERED)
 
 
+def join_activity(profile: DataFrame, active: DataFrame) -> DataFrame:
+    """Every lead, with the features of :func:`interaction_features` where it has some.
+
+    Those are read from staged files, which are small when compressed: without the hint Spark would broadcast a row per
+    active lead.
+    """
+    return profile.join(active.hint("merge"), "lead_id", "left")
+
+
 def lead_features(
     leads: DataFrame, interactions: DataFrame | None, medians: dict[str, float] | None = None, fill_recency: float | None = 0.0,
     activity: DataFrame | None = None,
@@ -200,7 +209,7 @@ def lead_features(
     ``fill_recency=None`` to leave their recency empty instead.
     """
     profile = training_leads(leads, medians)
-    joined = profile.join(interaction_features(interactions, activity), "lead_id", "left")
+    joined = join_activity(profile, interaction_features(interactions, activity))
     joined = joined.withColumn("converted", _zero_if_none(F.col("is_converted"), 0)).withColumn(
         "return_visitor_flag", flag_to_int("return_visitor_flag")
     )

@@ -65,7 +65,7 @@ def feature_table(t: LeadTables) -> DataFrame:
 def model_table(t: LeadTables) -> DataFrame:
     """Features of the models. Neither medians nor the rest of the profile are needed for them."""
     profile = cleaning.fill_unknown(cleaning.dedup_first(t.leads), ["source"]).select("lead_id", "source")
-    joined = profile.join(features.interaction_features(t.interactions), "lead_id", "left")
+    joined = features.join_activity(profile, features.interaction_features(t.interactions))
     joined = joined.withColumn("converted", F.coalesce("is_converted", F.lit(0))).fillna(0, subset=[f for f in FEATURES if f != "source"])
     return rounded(cleaning.model_features(joined))
 

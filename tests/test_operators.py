@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from leadspark.constants import FEATURES, LABEL_DEFINING
 from leadspark.operators import cleaning, encode, explore, features, labels, quality
+from leadspark.plans import registry
+from leadspark.sources.rolemap import LeadTables
 
 INTERACTIONS = """interaction_id string, lead_id string, session_id string, ts string, event_name string, page_name string, funnel_stage string,
     form_completed boolean, time_on_page_seconds double, scroll_depth_percent double, session_number int, is_return_visitor boolean,
@@ -115,6 +117,16 @@ def test_model_columns_do_not_leak(leads, interactions):
     assert all(v is not None for r in projected.collect() for v in r)
 
 
+def test_activity_is_never_broadcast(leads, interactions):
+    """A row per active lead comes from files that are small when compressed, whatever the number of leads."""
+    for table in (features.lead_features(leads, interactions), registry.model_table(LeadTables(leads, interactions))):
+        plan = table._jdf.queryExecution().executedPlan()
+        assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()
+        got = by(table)
+        assert {k: (r["converted"], r["total_events"]) for k, r in got.items()} == {"a": (1, 3), "b": (0, 1), "c": (0, 0), "d": (1, 1), None: (0, 0)}
+        assert "SortMergeJoin" in plan.toString() and "Broadcast" not in plan.toString()  # as it ran
+
+
 def test_quality(leads, interactions):
     d = quality.duplicate_summary(leads).first()
     assert (d["n_rows"], d["n_ids"], d["n_duplicates"]) == (7, 4, 2)
